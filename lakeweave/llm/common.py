@@ -87,3 +87,32 @@ def small_batches(spark: SparkSession) -> None:
     """Bounds what one Arrow batch of long texts holds, in the JVM and in Python."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def annotated(docs: DataFrame, text: str, make, kind: str, rows_at_once: int = 250) -> DataFrame:
+    """``(row, value)``: each row of ``docs`` as a struct, and what ``make()``'s function gives for its text.
+
+    ``make`` runs once a task; its function takes a list of texts (null or not) and
+    returns as many values of the Spark type ``kind``.  Columns of any name and type
+    pass through untouched.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        values = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows_at_once):
+                some = batch.slice(at, rows_at_once)
+                yield pa.record_batch([some.column(0), pa.array(values(some.column(0).field(place).to_pylist()), arrow_kind)], names=["row", "value"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text)
+    value = _parse_datatype_string(kind)
+    arrow_kind = to_arrow_type(value)
+    schema = StructType([StructField("row", docs.schema), StructField("value", value)])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return packed.mapInArrow(run, schema)

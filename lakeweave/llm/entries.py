@@ -20,6 +20,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Target shares of the token total in the queries' mixture.
+MIXTURE = {"en": 0.55, "de": 0.17, "fr": 0.17, "es": 0.11}
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweave.llm.quality import classify_quality
+
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweave.llm.mixing import document_rates
+
+    return document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights=MIXTURE)
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweave.llm.decontam import leaked_documents
+
+    return leaked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakeweave.llm.licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakeweave.llm.warc import warc_round_trip
 
@@ -59,7 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc, op5_simhash, op6_token_output, op7_html_text, op9_fingerprints, op10_token_counts)
+    f.__name__: f for f in (op1_quality, op2_mixing, op3_warc, op4_decontamination, op5_simhash, op6_token_output, op7_html_text, op8_licenses, op9_fingerprints, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {}
