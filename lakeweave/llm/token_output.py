@@ -20,85 +20,112 @@ from lakeweave.llm.common import scratch, small_batches
 
 #: Tokens of a block, but for a longer last document.
 BLOCK_TOKENS = 600_000
-#: Chunks, and pieces of chunks, a Python worker remembers between tasks; past it they are begun anew.
-TABLE_ENTRIES = 400_000
+#: Chunks a Python worker remembers between tasks; past it they are begun anew.
+TABLE_ENTRIES = 250_000
 #: Characters in which a chunk is cut by the pattern here; chunks with others are left to the library.
 PLAIN = "[!-~¡-¬®-ÿ]+"
-#: The tokenizer file's own pre-token pattern.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The tokenizer file's own pre-token pattern, over those characters in lower case.
+PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
+#: Stands for the end of a pre-token in the fast merger's vocabulary; no plain chunk holds it.
+MARK = "\0"
+
+
+def merger(path: str):
+    """The same merges for tiktoken, which merges faster: (encoding, ids by rank).
+
+    A word's last character and ``</w>`` are one symbol from the start, so pairs of
+    a byte and the mark rank before all merges; merges rank in the file's order.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocabulary = model["vocab"]
+    # byte-level files write a byte as a printable character: itself, or one from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    as_byte = {chr(c): b for c, b in zip([*shown, *range(256, 256 + len(rest))], [*shown, *rest], strict=True)}
+
+    def raw(token: str) -> bytes:
+        end = token.endswith("</w>")
+        return bytes(as_byte[c] for c in (token[:-4] if end else token)) + MARK.encode() * end
+
+    ranks, ids = {}, []
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    alphabet = [t for t in vocabulary if len(t.removesuffix("</w>")) == 1]
+    order = [*sorted((t for t in alphabet if not t.endswith("</w>")), key=raw), *sorted((t for t in alphabet if t.endswith("</w>")), key=raw), *("".join(m) for m in merges)]
+    for token in order:
+        data = raw(token)
+        if data == MARK.encode():
+            continue
+        if data not in ranks:
+            ranks[data] = len(ids)
+            ids.append(vocabulary[token])
+    ranks[MARK.encode()] = len(ids)
+    ids.append(0)
+    ranks[b"\n"] = ranks.get(b"\n", len(ids))
+    ids += [0] * (len(ranks) - len(ids))
+    return tiktoken.Encoding("own", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={}), ids, ranks[b"\n"]
 
 
 class Encoder:
     """Ids under a word-end BPE file of the tokenizers library.
 
     Its tokens never span white space and pre-tokens are encoded alone, so a
-    text is cut at spaces and line ends, and chunks are looked up.
+    text is cut at spaces and line ends, and chunks are looked up.  New plain
+    chunks are merged in one call; others are left to the library.
     """
 
     def __init__(self, path: str):
         import sys
         import types
 
-        import regex
         from tokenizers import Tokenizer
 
         # what a worker process keeps between tasks
         state = sys.modules.setdefault("_lakeweave_worker", types.ModuleType("_lakeweave_worker"))
         kept = state.__dict__.setdefault("word_encoders", {})
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), {}, {})
-        self.tokenizer, self.table, self.chunks = kept[path]
-        vocabulary = self.tokenizer.get_vocab()
-        self.terminals = max(vocabulary.values()) + 1
+            kept[path] = (Tokenizer.from_file(path), merger(path), {})
+        self.tokenizer, (self.merges, ids, self.line), self.chunks = kept[path]
+        self.terminals = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.uint16 if self.terminals < 60_000 else np.uint32
-        ends = np.zeros(self.terminals, bool)
-        ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.ends = ends
+        self.ids = np.array(ids, self.kind)
         self.plain = re.compile(PLAIN)
-        self.words = regex.compile(PRETOKEN)
-
-    def pieces(self, new: list[str]) -> None:
-        """Adds plain pre-tokens, all encoded in one call and cut at the word ends."""
-        for at in range(0, len(new), 30_000):
-            part = new[at : at + 30_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.kind)
-            cut = np.append(0, np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-            if len(cut) != len(part) + 1:
-                encoded = [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(part, add_special_tokens=False)]
-            else:
-                data, cut = ids.tobytes(), cut.tolist()
-                encoded = [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-            self.table.update(zip(part, encoded, strict=True))
+        self.words = re.compile(PRETOKEN)
+
+    def merged(self, chunks: list[str]) -> list[bytes]:
+        """The ids of plain chunks."""
+        marked = self.words.sub("\\g<0>\0", "\n".join(chunks).lower())
+        ranks = np.array(self.merges.encode_ordinary(marked), np.int32)
+        lines = np.flatnonzero(ranks == self.line)
+        ids = self.ids[np.delete(ranks, lines)]
+        cut = [0, *((lines - np.arange(len(lines))) * ids.itemsize).tolist(), ids.nbytes]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as bytes."""
         cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
         chunks = self.chunks
         distinct = set().union(*cut)
+        distinct.discard("")
         new = distinct.difference(chunks)
         if len(chunks) + len(new) > TABLE_ENTRIES:
             chunks.clear()
             new = distinct
-        if len(self.table) > TABLE_ENTRIES:
-            self.table.clear()
-        table = self.table
-        plain, rest, missing = [], [], set()
-        for chunk in new:
-            low = chunk.lower()
-            if low.isascii() and low.isalpha():
-                words = (low,)
-            elif self.plain.fullmatch(chunk) and "<|" not in chunk:
-                words = (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else self.words.findall(low)
-            else:
-                rest.append(chunk)
-                continue
-            plain.append((chunk, words))
-            missing.update(words)
-        self.pieces(list(missing.difference(table)))
-        for chunk, words in plain:
-            chunks[chunk] = table[words[0]] if len(words) == 1 else b"".join([table[w] for w in words])
-        for chunk, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            chunks[chunk] = np.array(e.ids, self.kind).tobytes()
+        match = self.plain.fullmatch
+        plain = [c for c in new if match(c) and "<|" not in c]
+        for at in range(0, len(plain), 50_000):
+            part = plain[at : at + 50_000]
+            chunks.update(zip(part, self.merged(part), strict=True))
+        if len(plain) < len(new):
+            rest = list(new.difference(plain))
+            for chunk, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+                chunks[chunk] = np.array(e.ids, self.kind).tobytes()
+        chunks[""] = b""
         get = chunks.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 
