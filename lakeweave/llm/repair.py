@@ -17,7 +17,7 @@ import numpy as np
 MAGIC = b"RPB1"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min_count: int = 12, rounds: int = 6, per_round: int = 3000) -> bytes:
+def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min_count: int = 12, rounds: int = 5, per_round: int = 1500) -> bytes:
     """``ids`` of whole documents, each ending in ``end_id``; ``ends``: index past each document's end token.
 
     A round counts all pairs and takes the most frequent, so that no symbol is
@@ -60,9 +60,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min
         rule = np.full(len(lefts) * len(rights), -1, np.int32)
         chosen = np.array(chosen, np.int64)
         rule[at_left[chosen[:, 0]] * len(rights) + at_right[chosen[:, 1]]] = np.arange(len(chosen)) + len(lengths)
-        x, y = at_left[seq[:-1]], at_right[seq[1:]]
-        where = np.flatnonzero((x >= 0) & (y >= 0))
-        new = rule[x[where] * len(rights) + y[where]]
+        where = np.flatnonzero((at_left >= 0)[seq[:-1]] & (at_right >= 0)[seq[1:]])
+        new = rule[at_left[seq[where]] * len(rights) + at_right[seq[where + 1]]]
         hit = new >= 0
         where, new = where[hit], new[hit]
         keep = np.ones(len(seq), bool)
@@ -95,19 +94,16 @@ class Block:
         self.symbols = np.frombuffer(data, kind, symbols, at + 4 * (docs + 1))
         self.lengths = np.concatenate([np.ones(self.terminals, np.int64), lengths])
         begin = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-        flat = np.empty(int(begin[-1]), np.uint32)
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at = int(begin[k])
-            for x in (a, b):
-                if x < self.terminals:
-                    flat[at] = x
-                    at += 1
-                else:
-                    n, f = int(self.lengths[x]), int(begin[x - self.terminals])
-                    flat[at : at + n] = flat[f : f + n]
-                    at += n
+        flat = self.rules.ravel()  # all rules' expansions, one after another, a level deeper each time
+        while len(inner := np.flatnonzero(flat >= self.terminals)):
+            times = np.ones(len(flat), np.int64)
+            times[inner] = 2
+            first = (np.cumsum(times) - times)[inner]
+            pairs = self.rules[flat[inner] - self.terminals]
+            flat = np.repeat(flat, times)
+            flat[first], flat[first + 1] = pairs[:, 0], pairs[:, 1]
         #: every symbol's expansion is pool[offset : offset + length]
-        self.pool = np.concatenate([np.arange(self.terminals, dtype=np.uint32), flat])
+        self.pool = np.concatenate([np.arange(self.terminals), flat]).astype(np.uint32)
         self.offset = np.concatenate([np.arange(self.terminals), begin[:-1] + self.terminals]).astype(np.int64)
 
     def sizes(self) -> np.ndarray:

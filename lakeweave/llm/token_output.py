@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from lakeweave.llm import repair
 from lakeweave.llm.common import scratch, small_batches
 
-#: Tokens of a block, but for a longer last document.
-BLOCK_TOKENS = 600_000
-#: Chunks a Python worker remembers between tasks; past it they are begun anew.
-TABLE_ENTRIES = 250_000
+#: Characters of a block's texts, but for a longer last document.
+BLOCK_CHARS = 4_000_000
+#: Bytes whose words are hashed at a time.
+HASH_BYTES = 1 << 20
 #: Characters in which a chunk is cut by the pattern here; chunks with others are left to the library.
 PLAIN = "[!-~¡-¬®-ÿ]+"
 #: The tokenizer file's own pre-token pattern, over those characters in lower case.
@@ -73,9 +73,10 @@ def merger(path: str):
 class Encoder:
     """Ids under a word-end BPE file of the tokenizers library.
 
-    Its tokens never span white space and pre-tokens are encoded alone, so a
-    text is cut at spaces and line ends, and chunks are looked up.  New plain
-    chunks are merged in one call; others are left to the library.
+    Its tokens never span white space and pre-tokens are encoded alone, so texts are
+    cut at spaces and line ends, each distinct chunk of a block is encoded once, and
+    the block's ids are gathered.  Plain chunks are merged in one call; others are
+    left to the library.
     """
 
     def __init__(self, path: str):
@@ -88,49 +89,101 @@ class Encoder:
         state = sys.modules.setdefault("_lakeweave_worker", types.ModuleType("_lakeweave_worker"))
         kept = state.__dict__.setdefault("word_encoders", {})
         if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), merger(path), {})
-        self.tokenizer, (self.merges, ids, self.line), self.chunks = kept[path]
+            kept[path] = (Tokenizer.from_file(path), merger(path))
+        self.tokenizer, (self.merges, ids, self.line) = kept[path]
         self.terminals = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.uint16 if self.terminals < 60_000 else np.uint32
         self.ids = np.array(ids, self.kind)
-        self.plain = re.compile(PLAIN)
+        self.plain, self.lines = re.compile(PLAIN), re.compile(PLAIN[:-2] + "\n]*")
         self.words = re.compile(PRETOKEN)
+        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def merged(self, chunks: list[str]) -> list[bytes]:
-        """The ids of plain chunks."""
-        marked = self.words.sub("\\g<0>\0", "\n".join(chunks).lower())
-        ranks = np.array(self.merges.encode_ordinary(marked), np.int32)
+    def merged(self, chunks: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain chunks, one a line, and each chunk's first place in them, and the end."""
+        ranks = np.array(self.merges.encode_ordinary(self.words.sub("\\g<0>\0", chunks.lower())), np.int32)
         lines = np.flatnonzero(ranks == self.line)
         ids = self.ids[np.delete(ranks, lines)]
-        cut = [0, *((lines - np.arange(len(lines))) * ids.itemsize).tolist(), ids.nbytes]
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as bytes."""
-        cut = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        chunks = self.chunks
-        distinct = set().union(*cut)
-        distinct.discard("")
-        new = distinct.difference(chunks)
-        if len(chunks) + len(new) > TABLE_ENTRIES:
-            chunks.clear()
-            new = distinct
-        match = self.plain.fullmatch
-        plain = [c for c in new if match(c) and "<|" not in c]
-        for at in range(0, len(plain), 50_000):
-            part = plain[at : at + 50_000]
-            chunks.update(zip(part, self.merged(part), strict=True))
-        if len(plain) < len(new):
-            rest = list(new.difference(plain))
-            for chunk, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-                chunks[chunk] = np.array(e.ids, self.kind).tobytes()
-        chunks[""] = b""
-        get = chunks.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
-
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", block_tokens: int = BLOCK_TOKENS) -> None:
+        return ids, np.concatenate([[0], lines - np.arange(len(lines)), [len(ids)]])
+
+    def chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, one after another, and the places where each begins, and the end."""
+        joined = b"\n".join(chunks).decode("utf-8", "replace")
+        if self.lines.fullmatch(joined) and "<|" not in joined:
+            return self.merged(joined)
+        texts = joined.split("\n")
+        easy = [bool(self.plain.fullmatch(c)) and "<|" not in c for c in texts]
+        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
+        plain = [i for i, e in enumerate(easy) if e]
+        if plain:
+            ids, first = self.merged("\n".join([texts[i] for i in plain]))
+            for i, a, b in zip(plain, first.tolist(), first[1:].tolist(), strict=False):
+                out[i] = ids[a:b]
+        rest = [i for i, e in enumerate(easy) if not e]
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, self.kind)
+        return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
+
+    def hashes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Two polynomial hashes modulo 2**64 of each chunk, from prefix sums."""
+        if not self.powers or len(self.powers[0][0]) <= len(buffer):
+            n = max(len(buffer), HASH_BYTES) + 1
+            self.powers = []
+            for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+                inverse = pow(base, -1, 1 << 64)
+                self.powers.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (base, inverse)))
+        values = buffer.astype(np.uint64) + np.uint64(1)
+        out = []
+        for power, inverse in self.powers:
+            sums = np.zeros(len(buffer) + 1, np.uint64)
+            np.cumsum(values * power[: len(buffer)], out=sums[1:])
+            out.append((sums[ends] - sums[starts]) * inverse[starts])
+        return out
+
+    def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by ``end_id``, and the place past each text's end id."""
+        data = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+        found, at = [], 0
+        while at < len(data):  # whole documents of about HASH_BYTES
+            stop, size = at, 0
+            while stop < len(data) and (stop == at or size + len(data[stop]) <= HASH_BYTES):
+                size += len(data[stop]) + 1
+                stop += 1
+            joined = b"\n".join(data[at:stop])
+            buffer = np.frombuffer(joined, np.uint8)
+            inside = np.concatenate([[False], (buffer != 32) & (buffer != 10), [False]])
+            starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
+            firsts = np.cumsum([0, *(len(x) + 1 for x in data[at:stop])])[:-1]
+            document = at + np.searchsorted(firsts, starts, "right") - 1
+            found.append((joined, starts, ends, document, *self.hashes(buffer, starts, ends)))
+            at = stop
+        if not found or not sum(len(f[1]) for f in found):
+            return np.full(len(texts), end_id, self.kind), np.arange(1, len(texts) + 1)
+        document, one, two = (np.concatenate([f[k] for f in found]) for k in (3, 4, 5))
+        _, first, which = np.unique(one, return_index=True, return_inverse=True)
+        if not np.array_equal(two[first][which], two):  # two chunks of one hash: tell them apart by both
+            _, first, which = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
+            which = which.ravel()
+        before = np.cumsum([0, *(len(f[1]) for f in found)])
+        part = np.searchsorted(before, first, "right") - 1
+        own = first - before[part]
+        chunks = [None] * len(first)
+        for k, (joined, starts, ends, *_) in enumerate(found):
+            mine = np.flatnonzero(part == k)
+            for i, a, b in zip(mine.tolist(), starts[own[mine]].tolist(), ends[own[mine]].tolist(), strict=True):
+                chunks[i] = joined[a:b]
+        pool, begin = self.chunk_ids(chunks)
+        n = np.diff(begin)[which]
+        stop = np.cumsum(n)
+        ids = pool[np.arange(int(stop[-1])) + np.repeat(begin[which] - (stop - n), n)]
+        ends = np.cumsum(np.bincount(document, n, len(texts)).astype(np.int64) + 1)
+        out = np.empty(int(ends[-1]), self.kind)
+        free = np.ones(len(out), bool)
+        free[ends - 1] = False
+        out[free], out[ends - 1] = ids, end_id
+        return out, ends
+
+
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> None:
     """Writes blocks of ``docs`` to ``path``, in ascending order of the integer ``key``.
 
     Null texts are empty documents (the end id alone); null keys come first;
@@ -144,32 +197,28 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder(tokenizer_path)
-        end = np.array([end_id], encoder.kind).tobytes()
         part, block, start = TaskContext.get().partitionId(), 0, 0
-        keys, data, held = [], [], 0
+        keys, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, start, keys, data, held
-            ids = np.frombuffer(b"".join(data), encoder.kind)
-            ends = np.cumsum([len(x) for x in data]) // ids.itemsize
+            nonlocal block, start, keys, texts, held
+            ids, ends = encoder.encode(texts, end_id)
             packed = repair.compress(ids, ends, end_id, encoder.terminals)
             row = pa.record_batch(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
                 names=["part", "block", "start", "n_tokens", "keys", "data"],
             )
             block, start = block + 1, start + len(ids)
-            keys, data, held = [], [], 0
+            keys, texts, held = [], [], 0
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
-                for k, ids in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist()), strict=True):
-                    keys.append(k)
-                    data.append(ids + end)
-                    held += len(ids) // len(end) + 1
-                    if held >= block_tokens:
-                        yield flush()
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keys.append(k)
+                texts.append(x)
+                held += len(x or "")
+                if held >= block_chars:
+                    yield flush()
         if keys:
             yield flush()
 
