@@ -19,6 +19,8 @@ from lakeweave.llm.common import materialise, scratch
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+#: Repeated payloads' digests that are sent to all tasks at most, about 20 MB.
+MOST_BROADCAST = 200_000
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -45,8 +47,10 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.octet_length("payload")})
     first = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = first.where("copies > 1 and first is not null").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
+    first = materialise(first.where("copies > 1 and first is not null").select("digest", "first"), "repeated")
+    # payloads stay where they are while the repeated digests are few; else both sides are dealt out by digest
+    few = first.count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(first) if few else first, "digest", "left")
     revisit = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
 
     def line(name: str, value: Column) -> Column:
