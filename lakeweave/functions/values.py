@@ -7,6 +7,8 @@ and a date is no timestamp.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DateType, DecimalType, NumericType, StringType, TimestampNTZType, TimestampType
@@ -64,3 +66,8 @@ def finite(x: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once a row, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

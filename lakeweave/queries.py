@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,8 +82,13 @@ matrix AS (SELECT s.*, x.n AS n1, y.n AS n2, round(shared / x.n::DOUBLE, 6) AS c
   FROM shared s JOIN n x ON s.table1 = x.t AND s.column1 = x.c JOIN n y ON s.table2 = y.t AND s.column2 = y.c)"""
 
 
+def counted(lake: dict[str, DataFrame]) -> DataFrame:
+    """The lake's value counts, which all set features start from, kept so that they are made once."""
+    return profile.value_counts(profile.lake_values(lake)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = profile.value_counts(profile.lake_values(key_lake(spark, sf_dir)))
+    counts = counted(key_lake(spark, sf_dir))
     found = overlap.containment(overlap.shared_values(counts), profile.profiles(counts))
     return rounded(found, "containment1", "containment2", "max_containment", "min_containment", "overlap")
 
@@ -153,7 +159,7 @@ def steiner_tree(spark, sf_dir):
 @query()
 def join_candidates_scored(spark, sf_dir):
     """All feature columns of the key columns' pairs, scored by the rule scorer, the best six a table pair."""
-    counts = profile.value_counts(profile.lake_values(key_lake(spark, sf_dir)))
+    counts = counted(key_lake(spark, sf_dir))
     prof = profile.profiles(counts)
     texts = profile.column_text(prof, profile.frequent_values(counts))
     feats = features.pair_features(counts, prof, texts)
@@ -183,14 +189,14 @@ def transitive_labels(spark, sf_dir):
 @query()
 def join_classifier(spark, sf_dir):
     """Fits the classifier on the foreign keys and drawn negatives, and scores its own pairs: precision, recall, F1."""
-    counts = profile.value_counts(profile.lake_values(key_lake(spark, sf_dir)))
+    counts = counted(key_lake(spark, sf_dir))
     prof = profile.profiles(counts)
     feats = features.pair_features(counts, prof)
     good = foreign_keys(spark)
     swapped = good.select(F.col("table2").alias("table1"), F.col("column2").alias("column1"), F.col("table1").alias("table2"), F.col("column1").alias("column2"))
     labels = good.unionByName(swapped).where("table1 < table2").withColumn("label", F.lit(1))
     drawn = candidates.negative_pairs(prof, good)
-    samples = feats.join(labels.unionByName(drawn.select(*candidates.PAIR, "label")), candidates.PAIR)
+    samples = feats.join(labels.unionByName(drawn.select(*candidates.PAIR, "label")), candidates.PAIR).persist()  # a row a column pair
     model = classify.JoinClassifier().fit(samples)
     return rounded(classify.evaluate(model.score(samples)), "precision", "recall", "f1")
 
@@ -272,7 +278,7 @@ s AS (SELECT *, sum(mass) OVER w AS f, lead(x) OVER w - x AS dx FROM m WINDOW w
 SELECT table1, column1, table2, column2, round(sum(abs(f) * dx), 3) AS emd FROM s GROUP BY ALL"""
 )
 def emd_pairs(spark, sf_dir):
-    counts = profile.value_counts(profile.lake_values(range_lake(spark, sf_dir)))
+    counts = counted(range_lake(spark, sf_dir))
     prof = profile.profiles(counts)
     return rounded(overlap.earth_mover(counts, features.candidate_pairs(prof)), "emd", places=3)
 
@@ -523,7 +529,7 @@ def discovered_join_revenue(spark, sf_dir):
 
 def _key_counts(spark: SparkSession, sf_dir: str, only: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     lake = {t: df for t, df in key_lake(spark, sf_dir).items() if t in only}
-    counts = profile.value_counts(profile.lake_values(lake))
+    counts = counted(lake)
     return counts, profile.profiles(counts)
 
 
