@@ -148,37 +148,57 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
     model = fit_classifier(labelled_sample(docs, labelled, domain, key, text, most))
     count = F.size(words(F.col(f"`{text}`"))).cast("long")
     if not model["domains"]:
-        none = F.struct(F.lit(None).cast("string").alias("domain"), count.alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-        return (lambda df: df.withColumn("_mix", none)), {"mass": [], "target": [], "reached": []}
-    cells = docs.select(pattern(F.col(f"`{text}`"), model).alias("cell"), count.alias("tokens")).groupBy("cell").agg(F.sum("tokens").alias("tokens"))
-    cells = materialise(cells.select("cell", "tokens", posterior(F.col("cell"), model).alias("posterior")), "cells")
+
+        def unlabelled(df: DataFrame, text: str = text, key: str = key) -> DataFrame:
+            n = F.size(words(F.col(f"`{text}`"))).cast("long")
+            return df.withColumn("_mix", F.struct(F.lit(None).cast("string").alias("domain"), n.alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")))
+
+        return unlabelled, {"mass": [], "target": [], "reached": []}
+    cells = docs.select(pattern(F.col(f"`{text}`"), model).alias("_cell"), count.alias("_tokens"))
+    rates, report = pattern_rates(cells, model, weights, budget)
+
+    def annotate(df: DataFrame, text: str = text, key: str = key) -> DataFrame:
+        own = {"_cell": pattern(F.col(f"`{text}`"), model), "_tokens": F.size(words(F.col(f"`{text}`"))).cast("long")}
+        return with_mix(df.withColumns(own), rates, key)
+
+    return annotate, {"domains": model["domains"], **report}
+
+
+def pattern_rates(cells: DataFrame, model: dict, weights: dict[str, float] | None, budget: float | None) -> tuple[DataFrame, dict]:
+    """``_cell, _domain, _rate`` of each word pattern, from documents' ``_cell, _tokens``; and the report of totals."""
+    cells = cells.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"))
+    cells = materialise(cells.select("_cell", "tokens", posterior(F.col("_cell"), model).alias("posterior")), "cells")
     history, report = fit_rates(cells, model, weights, budget)
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    rates = materialise(cells.select(F.col("cell").alias("_cell"), F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), best).alias("_domain"), folded(F.col("posterior"), history).alias("_rate")), "rates")
+    named = F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), best)
+    return materialise(cells.select("_cell", named.alias("_domain"), folded(F.col("posterior"), history).alias("_rate")), "rates"), report
 
-    def annotate(df: DataFrame) -> DataFrame:
-        place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        df = df.withColumns({"_cell": pattern(F.col(f"`{text}`"), model), "_tokens": count})
-        df = df.join(F.broadcast(rates), "_cell", "left")  # at most 2**MAX_WORDS rows
-        rate = F.coalesce("_rate", F.lit(1.0))
-        mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), rate.alias("rate"), F.floor(rate + place).cast("int").alias("copies"))
-        return df.withColumn("_mix", mix).drop("_cell", "_tokens", "_domain", "_rate")
 
-    return annotate, {"domains": model["domains"], **report}
+def with_mix(df: DataFrame, rates: DataFrame, key: str) -> DataFrame:
+    """``_mix`` in place of ``_cell, _tokens``."""
+    place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    df = df.join(F.broadcast(rates), "_cell", "left")  # at most 2**MAX_WORDS rows
+    rate = F.coalesce("_rate", F.lit(1.0))
+    mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), rate.alias("rate"), F.floor(rate + place).cast("int").alias("copies"))
+    return df.withColumn("_mix", mix).drop("_cell", "_tokens", "_domain", "_rate")
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, domain, tokens, rate, copies`` of each document; see ``mixed``."""
-    annotate, _ = mixed(docs, labelled, domain, weights, budget, text, key)
-    return annotate(docs.select(key, text)).select(key, "_mix.*")
+    model = fit_classifier(labelled_sample(docs, labelled, domain, key, text, MAX_LABELLED))
+    if not model["domains"]:
+        annotate, _ = mixed(docs, labelled, domain, weights, budget, text, key)
+        return annotate(docs.select(key, text)).select(key, "_mix.*")
+    # texts are read once for their patterns; the rest runs on three numbers a document
+    count = F.size(words(F.col(f"`{text}`"))).cast("long")
+    placed = materialise(docs.select(F.col(f"`{key}`"), pattern(F.col(f"`{text}`"), model).alias("_cell"), count.alias("_tokens")), "patterns")
+    rates, _ = pattern_rates(placed, model, weights, budget)
+    return with_mix(placed, rates, key).select(key, "_mix.*")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, each as often as its copies say."""
     annotate, _ = mixed(docs, labelled, domain, weights, budget, text, key)
-    return repeat_rows(docs, annotate)
-
-
-def repeat_rows(docs: DataFrame, annotate) -> DataFrame:
-    counted = annotate(docs).where("_mix.copies > 0")
-    return counted.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{key}`").alias("_key"))
+    counted = annotate(packed, "_text", "_key").where("_mix.copies > 0").select("_row", "_mix.copies")
+    return counted.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_row.*")

@@ -264,7 +264,9 @@ def test_mixing_edges(spark, docs, none):
     assert got.count() == len(ROWS) and {r.domain for r in got.collect()} == {"en"} and all(r.rate == pytest.approx(1) for r in got.collect())
     assert {(r.domain, r.copies) for r in mixing.document_rates(tagged, labels.limit(0)).collect()} == {(None, 1)}
     assert mixing.document_rates(none.withColumn("lang", F.lit("x")), labels).count() == 0
-    assert mixing.mixed_documents(tagged, labels).columns == tagged.columns
+    clash = tagged.withColumn("_mix", F.lit(1)).withColumn("_row", F.lit(2))
+    repeated = mixing.mixed_documents(clash, labels)
+    assert repeated.columns == clash.columns and repeated.count() == len(ROWS)
 
 
 def test_annotated_passes_clashing_columns(spark):
