@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    absent (tests, local mode) a folder under /tmp is used.
+    absent (tests, local mode) a folder under /tmp is used, and removed at the end.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return base.rstrip("/")
+    global _own
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if _own is None:
+        _own = f"/tmp/checkpoints/lakeweave-{os.getpid()}"
+        atexit.register(shutil.rmtree, _own, ignore_errors=True)
+    return f"file://{_own}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:

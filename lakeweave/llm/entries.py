@@ -90,4 +90,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_mixing, op3_warc, op4_decontamination, op5_simhash, op6_token_output, op7_html_text, op8_licenses, op9_fingerprints, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+def digit(place: str) -> str:
+    return f"(instr('0123456789abcdef', substr(h, {place}, 1)) - 1)"
+
+
+#: Five hex digits of the SHA-1 are four of base 32.
+_GROUP = " + ".join(f"{digit(f'5 * g + {k + 1}')} * {16 ** (4 - k)}" for k in range(5))
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v // {32**k}) % 32 + 1, 1)" for k in (3, 2, 1, 0))
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT page_id, g, {_GROUP} AS v FROM p CROSS JOIN range(8) r(g)),
+d AS (SELECT page_id, string_agg({_LETTERS}, '' ORDER BY g) AS payload_digest FROM g GROUP BY page_id)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = min(page_id) OVER (PARTITION BY h) THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN page_id <> min(page_id) OVER (PARTITION BY h) THEN min(page_id) OVER (PARTITION BY h) END AS refers_to FROM p JOIN d USING (page_id)"""
+}
