@@ -59,6 +59,23 @@ def pair_score(pairs: DataFrame, encoder: Encoder | None = None, temperature: fl
     return scored.withColumn("prob", 1 / (1 + F.exp(-F.col("cosine") / temperature))).drop("_query", "_text")
 
 
+def calibrate(pairs: DataFrame, label: str = "label"):
+    """A model of relevance on the cosine and the terms that query and text share, fitted on labelled pairs
+    (``query, text, label``); returns a function that adds ``prob`` to pairs."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    def features(df: DataFrame) -> DataFrame:
+        shared = F.size(F.array_intersect(terms(F.col("query")), terms(F.col("text")))).cast("double")
+        return pair_score(df).drop("prob").withColumn("shared_terms", shared)
+
+    stages = [VectorAssembler(inputCols=["cosine", "shared_terms"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_rp", predictionCol="_c", regParam=1e-3)]
+    model = Pipeline(stages=stages).fit(features(pairs).withColumn("_y", F.col(label).cast("double")).persist())
+    return lambda df: model.transform(features(df)).withColumn("prob", vector_to_array("_p")[1]).drop("_x", "_p", "_rp", "_c")
+
+
 def ranked(scores: DataFrame, group: str = "query", item: str = "table", score: str = "prob") -> DataFrame:
     """Adds ``rank`` within the group: score descending, ties by item."""
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), item)))

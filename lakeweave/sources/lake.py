@@ -149,6 +149,18 @@ def read_links(spark: SparkSession, path: str, columns: DataFrame, label: int =
     return rows.select("table1", "column1", "table2", "column2", F.lit(label).alias("label"))
 
 
+def read_matching(spark: SparkSession, pattern: str, source: str = "source_relation") -> DataFrame:
+    """All CSV tables whose paths match a wildcard, under each other, with each row's file stem; columns are texts."""
+    out = None
+    folder, _, name = pattern.rpartition("/")
+    for path in list_files(spark, folder, name):
+        part = read_csv(spark, path, infer=False).withColumn(source, F.lit(stem(path)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(pattern)
+    return out
+
+
 def first_rows(df: DataFrame, n: int = 20) -> DataFrame:
     return df.limit(n)
 

@@ -220,6 +220,11 @@ def test_ranking_frames(spark):
     pairs = spark.createDataFrame([("orders", "orders"), ("orders", "zebra")], "query string, text string")
     got = {r.text: r.prob for r in rank.pair_score(pairs).collect()}
     assert got["orders"] > 0.999 > got["zebra"]
+    labelled = spark.createDataFrame([("orders of x", f"orders t{i}", 1) for i in range(6)] + [("orders of x", f"zebra{i} t", 0) for i in range(6)], "query string, text string, label int")
+    probs = {r.text: r.prob for r in rank.calibrate(labelled)(pairs).collect()}
+    assert probs["orders"] > 0.5 > probs["zebra"]
+    nearest = similarity.top_similar(spark.createDataFrame([(1, [1.0, 0.0])], "id int, vector array<double>"), spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 1.0])], "id int, vector array<double>"), 1)
+    assert [(r["query"], r.neighbour) for r in nearest.collect()] == [(1, 2)]
 
 
 def test_metrics(spark):

@@ -33,6 +33,28 @@ def test_links(spark, folder, tmp_path):
     assert sorted(tuple(r) for r in loose.collect()) == [("a", "id", "b", "a_id", 0), ("a", "id", "b", "a_id", 0)]
 
 
+def test_wildcard(spark, folder):
+    got = lake.read_matching(spark, f"{folder}/*.csv")
+    assert {r.source_relation: r.n for r in got.groupBy("source_relation").agg(F.count("*").alias("n")).collect()} == {"a": 2, "b": 2}
+    with pytest.raises(FileNotFoundError):
+        lake.read_matching(spark, f"{folder}/none*.csv")
+
+
+def test_command_line(spark, folder, capsys):
+    from lakeweave.__main__ import main
+
+    main(["overlap", str(folder), "a.id", "b.a_id"], spark)
+    assert "1.0" in capsys.readouterr().out
+    main(["candidates", str(folder), "--top", "1"], spark)
+    assert "a_id" in capsys.readouterr().out
+    main(["tree", str(folder), "a", "b"], spark)
+    assert "JOIN" in capsys.readouterr().out
+    main(["sql", str(folder), "SELECT count(*) AS n FROM a"], spark)
+    assert capsys.readouterr().out.split() == ["n", "2"]
+    main(["profile", str(folder)], spark)
+    assert "amount" in capsys.readouterr().out
+
+
 def test_versions_are_anchored(spark):
     one = spark.range(1).toDF("x")
     c = catalog.VersionedCatalog(spark, {"campaign": one, "campaign_history_2": one})
