@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 #: Hashes in a sketch: the standard error of a resemblance near 0.5 is 0.044.
 K = 128
 WIDTH = 5
-#: Text in a range of neighbouring documents.
+#: Text in a range of neighbouring documents, and the number of ranges whose bounds a plan holds at most;
+#: past it (8 GB) ranges grow, and their windows spill.
 RANGE_BYTES = 2 << 20
+MAX_RANGES = 4096
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -93,20 +95,20 @@ def with_next(docs: DataFrame, key: str, text: str, then: Callable[[DataFrame, W
     below, so one shuffle by range suffices, whatever the number of rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n, size, low = rows.agg(F.count("key"), F.sum(F.octet_length("text").cast("long")), F.min("key")).first()
-    ranges = max(1, min(int((size or 0) / RANGE_BYTES), n))
+    n, size, top = rows.agg(F.count("key"), F.sum(F.octet_length("text").cast("long")), F.max("key")).first()
+    ranges = max(1, min(int((size or 0) / RANGE_BYTES), n, MAX_RANGES))
     bounds = []
     if ranges > 1:
         at = [i / ranges for i in range(1, ranges)]
         got = rows.agg(F.percentile_approx("key", at, 100 * ranges)).first()[0]
         bounds = sorted(set(got))
-    top = rows.agg(F.max("key")).first()[0]
     bounds = [b for b in bounds if b < top]  # each range holds its upper bound, so none is empty
     place = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("key"))), F.lit(0)) if bounds else F.lit(0)
     placed = rows.withColumn("range", F.when(F.col("key").isNull(), 0).otherwise(place))
     last = len(bounds)
     tops = placed.groupBy("range").agg(F.max("key").alias("top"))
-    firsts = placed.join(F.broadcast(tops) if last < 10_000 else tops, "range").where(F.col("key").eqNullSafe(F.col("top")))
+    firsts = placed.join(F.broadcast(tops), "range")  # MAX_RANGES rows
+    firsts = firsts.where(F.col("key").eqNullSafe(F.col("top")))
     firsts = firsts.groupBy("range", "key").agg(F.max("text").alias("text"))
     firsts = firsts.select("key", "text", F.when(F.col("range") == last, 0).otherwise(F.col("range") + 1).alias("range"), F.lit(True).alias("edge"))
     window = Window.partitionBy("range").orderBy("edge", F.col("key").desc_nulls_last(), F.col("text").desc_nulls_last())
