@@ -1,8 +1,8 @@
 """Re-Pair grammar compression of token ids.
 
 A block is a run of documents.  Frequent pairs of neighbouring symbols are
-replaced by nonterminals, again and again; no rule spans the end token, so each
-document begins at a symbol of its own and can be decoded alone.
+replaced by nonterminals, again and again, until none is left; no rule spans the
+end of a document, so each begins at a symbol of its own and can be decoded alone.
 
 Block layout, little-endian: magic ``RPB1``, symbol bytes (2 or 4), number of
 terminals, rules, documents and symbols (five u32); the rules' pairs; the rules'
@@ -15,64 +15,89 @@ from __future__ import annotations
 import numpy as np
 
 MAGIC = b"RPB1"
+SLOT_BITS = 20
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min_count: int = 12, rounds: int = 5, per_round: int = 1500) -> bytes:
+def slots(keys: np.ndarray) -> np.ndarray:
+    """Places of pairs in a hash table."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min_count: int = 12) -> bytes:
     """``ids`` of whole documents, each ending in ``end_id``; ``ends``: index past each document's end token.
 
-    A round counts all pairs and takes the most frequent, so that no symbol is
-    the left of one pair and the right of another: the replaced occurrences
-    then can't overlap.  It stops when no pair occurs ``min_count`` times.
+    A round counts the pairs and takes the frequent ones, the most frequent first, so
+    that no symbol is the left of one pair and the right of another: the replaced
+    occurrences then can't overlap.  Pairs of equal symbols are replaced from the left
+    of a run.  Rounds go on until no pair occurs ``min_count`` times; symbols have four
+    bytes where two don't hold them.
+
+    A pair of old symbols never gains occurrences, so a place whose pair was rare is
+    counted again only when a symbol of it is new.
     """
-    wide = np.uint16 if terminals < 60_000 else np.uint32
-    top = np.iinfo(wide).max
-    seq = ids.astype(wide)
+    seq = ids.astype(np.uint32)
     firsts = np.concatenate([[0], ends]).astype(np.int64)
     pairs, lengths = [], np.ones(terminals, np.uint32)
-    closed = {end_id}  # symbols that end a document: never the left of a pair
-    for _ in range(rounds):
-        room = min(per_round, int(top) - len(lengths))
-        if len(seq) < 2 or room <= 0:
-            break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:] if wide is np.uint32 else (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-        shift = 32 if wide is np.uint32 else 16
-        keys.sort()
-        cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.diff(np.append(cut, len(keys)))
+    live = np.ones(len(seq), bool)  # places whose pair may be frequent
+    while len(seq) > 1:
+        live[firsts[1:] - 1] = False  # no pair spans a document's end
+        at = np.flatnonzero(live)
+        left, right = seq[at], seq[at + 1]
+        same = np.flatnonzero(left == right)
+        if len(same):  # every other place of a run counts
+            here, nth = at[same], np.arange(len(same))
+            begin = np.concatenate([[True], here[1:] != here[:-1] + 1])
+            odd = same[(nth - np.maximum.accumulate(np.where(begin, nth, 0))) % 2 == 1]
+            between = at[odd]
+            at, left, right = np.delete(at, odd), np.delete(left, odd), np.delete(right, odd)
+        bits = (len(lengths) - 1).bit_length()
+        kind = np.uint32 if bits <= 16 else np.uint64
+        keys = left.astype(kind) << kind(bits) | right.astype(kind)
+        ordered = np.sort(keys)
+        cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.empty(0, np.int64)
+        counts = np.diff(np.append(cut, len(ordered)))
         often = np.flatnonzero(counts >= min_count)
         if not len(often):
             break
-        often = often[np.argsort(-counts[often], kind="stable")[: 2 * room]]
-        keys = keys[cut[often]]
-        left, right = (keys >> np.array(shift, keys.dtype)).astype(np.int64), (keys & np.array(top, keys.dtype)).astype(np.int64)
+        frequent = ordered[cut[often]]
+        ranked = frequent[np.argsort(-counts[often], kind="stable")]
         lefts, rights, chosen = set(), set(), []
-        for a, b in zip(left.tolist(), right.tolist(), strict=True):
-            if a not in closed and a != b and a not in rights and b not in lefts:
+        for a, b in zip((ranked >> kind(bits)).tolist(), (ranked & kind((1 << bits) - 1)).tolist(), strict=True):
+            if a not in rights and b not in lefts:
                 lefts.add(a)
                 rights.add(b)
                 chosen.append((a, b))
-                if len(chosen) == room:
-                    break
-        if not chosen:
-            break
-        at_left, at_right = np.full(len(lengths), -1, np.int32), np.full(len(lengths), -1, np.int32)
-        at_left[list(lefts)], at_right[list(rights)] = np.arange(len(lefts)), np.arange(len(rights))
-        rule = np.full(len(lefts) * len(rights), -1, np.int32)
         chosen = np.array(chosen, np.int64)
-        rule[at_left[chosen[:, 0]] * len(rights) + at_right[chosen[:, 1]]] = np.arange(len(chosen)) + len(lengths)
-        where = np.flatnonzero((at_left >= 0)[seq[:-1]] & (at_right >= 0)[seq[1:]])
-        new = rule[at_left[seq[where]] * len(rights) + at_right[seq[where + 1]]]
-        hit = new >= 0
-        where, new = where[hit], new[hit]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
+        # pairs are found by hash; those whose place another pair took, by search
+        table = np.full(1 << SLOT_BITS, -1, np.int32)
+        table[slots(frequent)] = np.arange(len(frequent))
+        order = table[slots(keys)]
+        near = np.flatnonzero(order >= 0)
+        order = order[near]
+        other = np.flatnonzero(frequent[order] != keys[near])
+        order[other] = np.minimum(np.searchsorted(frequent, keys[near[other]]), len(frequent) - 1)
+        found = frequent[order] == keys[near]
+        at, order = at[near[found]], order[found]
+        live[:] = False
+        live[at] = True
+        if len(same):  # these come to count when the run's first symbol goes
+            live[between] = True
+        rule = np.full(len(frequent), -1, np.int64)
+        rule[np.searchsorted(frequent, chosen[:, 0].astype(kind) << kind(bits) | chosen[:, 1].astype(kind))] = np.arange(len(chosen)) + len(lengths)
+        new = rule[order]
+        where, new = at[new >= 0], new[new >= 0]
         seq[where] = new
-        gone = np.concatenate([[0], np.cumsum(~keep)]) if len(firsts) > len(seq) // 8 else None
-        firsts = firsts - (gone[firsts] if gone is not None else np.searchsorted(where + 1, firsts))
-        seq = seq[keep]
+        stay = np.ones(len(seq), bool)
+        stay[where + 1] = False
+        firsts = firsts - np.searchsorted(where + 1, firsts)
+        live[where] = True
+        moved = where - np.arange(len(where))  # the new symbols' places
+        seq, live = seq[stay], live[stay]
+        live[np.maximum(moved - 1, 0)] = True
         pairs.append(chosen)
-        closed.update(len(lengths) + k for k, b in enumerate(chosen[:, 1].tolist()) if b in closed)
         lengths = np.concatenate([lengths, lengths[chosen[:, 0]] + lengths[chosen[:, 1]]])
+    wide = np.uint16 if len(lengths) <= 1 << 16 else np.uint32
+    seq = seq.astype(wide)
     rules = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
     head = np.array([np.dtype(wide).itemsize, terminals, len(rules), len(firsts) - 1, len(seq)], "<u4")
     return b"".join([MAGIC, head.tobytes(), rules.astype(wide).tobytes(), lengths[terminals:].astype("<u4").tobytes(), firsts.astype("<u4").tobytes(), seq.tobytes()])

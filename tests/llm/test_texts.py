@@ -79,6 +79,26 @@ def test_repair_round_trip(seed):
     assert len(docs) < 20 or len(packed) < ids.nbytes
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_repair_leaves_no_frequent_pair(seed):
+    r = np.random.default_rng(seed)
+    terminals = 65_530 if seed % 2 else 60  # few rules are left in two bytes, or many
+    docs = [np.append(r.choice([2, 3, 4, 5, *range(20, 50)], r.integers(0, 300)), 2) for _ in range(40)] + [np.array([7] * 90 + [2])]
+    ends = np.cumsum([len(d) for d in docs])
+    packed = repair.compress(np.concatenate(docs).astype(np.uint32), ends, 2, terminals, min_count=4)
+    block = repair.Block(packed)
+    assert np.array_equal(block.decode(0, len(docs)), np.concatenate(docs)) and block.sizes().tolist() == [len(d) for d in docs]
+    assert int(np.frombuffer(packed, "<u4", 1, 4)[0]) == (4 if seed % 2 else 2)
+    left = {}
+    for a, b in zip(block.firsts, block.firsts[1:], strict=False):
+        before = None
+        for pair in zip(block.symbols[a : b - 1].tolist(), block.symbols[a + 1 : b].tolist(), strict=True):
+            before = None if pair == before and pair[0] == pair[1] else pair  # from the left of a run
+            left[before] = left.get(before, 0) + 1
+    left.pop(None, None)
+    assert max(left.values()) < 4
+
+
 def test_simhash_of_plain_definition(texts):
     import xxhash
 
