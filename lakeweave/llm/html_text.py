@@ -1,13 +1,16 @@
 """Main text of web pages from a stream of parser events.
 
 The standard library's HTML parser emits events; block elements cut the text
-into lines.  A line's text-to-tag ratio is its characters per tag; the ratios
-are smoothed with a Gaussian along the page, and lines at or above the smoothed
-ratios' standard deviation form the content cluster.  A region (the lines of one
-container) that holds clustered lines and is as dense itself is content as a whole, so that its short
-paragraphs and headings stay.  Containers that are boilerplate by their element
-or class never become regions; article and main elements, where a page has them,
-bound the regions.
+into lines.  A line's text-to-tag ratio is its characters per tag; on every
+page the ratios are smoothed with a Gaussian, and lines at or above a threshold, the
+smoothed ratios' standard deviation, form the content cluster.  A region (the lines
+of one container or list) that holds clustered lines and is as dense itself is
+content as a whole, so that its short paragraphs and headings stay.
+
+Elements and classes are an aid.  Containers that are boilerplate by them never
+become regions.  Within article and main elements the threshold is ``WITHIN`` at
+most, the smoothed ratio alone decides of a region of one line, and regions
+outside count only where none inside is content.
 """
 
 from __future__ import annotations
@@ -26,9 +29,11 @@ from lakeweave.llm.common import small_batches
 #: Elements whose content is never main text.
 BOILERPLATE = frozenset("nav footer aside form script style noscript template svg math iframe object select button textarea menu dialog head title canvas audio video map datalist".split())
 #: Containers that are tracked; all but these, and void elements, may stay unclosed.
-CONTAINERS = BOILERPLATE | frozenset("html body header div section article main center fieldset figure table".split())
+CONTAINERS = BOILERPLATE | frozenset("html body header div section article main center fieldset figure table ul ol dl".split())
 #: Containers of the main text.
 SEMANTIC = frozenset(["article", "main"])
+#: Containers that open no region of their own within article or main, and outside.
+JOINED, LISTS = frozenset("html body header figure table".split()), frozenset("ul ol dl".split())
 #: Elements that break a line.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th thead tbody tfoot caption blockquote pre address hr figcaption details summary hgroup option".split())
 #: Words of a class or id, or a role, that mark boilerplate.
@@ -40,6 +45,8 @@ MARKED = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 SIGMA = 1.5
+#: Characters a tag from which lines within article or main are content: links of a list have four tags.
+WITHIN = 8.0
 
 
 class Lines(HTMLParser):
@@ -77,10 +84,10 @@ class Lines(HTMLParser):
         if outer >= 0:
             if tag in BOILERPLATE or (tag == "header" and outer not in self.semantic) or self.marked(tag, attrs):
                 self.region = -1
-            elif tag in SEMANTIC and outer not in self.semantic or tag not in SEMANTIC and outer not in self.semantic:
+            elif tag not in JOINED if outer in self.semantic else tag not in LISTS:
                 self.regions += 1
                 self.region = self.regions
-                if tag in SEMANTIC:
+                if tag in SEMANTIC or outer in self.semantic:
                     self.semantic.add(self.region)
         self.open.append((tag, outer))
 
@@ -133,16 +140,23 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    kept = {region for region, _, _ in lines if region in parser.semantic} or {region for region, _, _ in lines if region >= 0}
-    if len(kept) > 1:
-        ratio = smooth(np.array([len(text) / max(1, tags) for _, text, tags in lines]), sigma)
-        cluster = ratio >= ratio.std()
-        dense = {region for (region, _, _), inside in zip(lines, cluster.tolist(), strict=True) if inside} & kept
-        chars, tags = Counter(), Counter()
-        for region, text, n in lines:
-            chars[region] += len(text)
-            tags[region] += n
-        kept = {r for r in dense if chars[r] >= ratio.std() * max(1, tags[r])} or dense or kept
+    ratio = smooth(np.array([len(text) / max(1, tags) for _, text, tags in lines]), sigma)
+    threshold = float(ratio.std())
+    peak, chars, tags, count = Counter(), Counter(), Counter(), Counter()
+    for (region, text, n), r in zip(lines, ratio.tolist(), strict=True):
+        peak[region] = max(peak[region], r)
+        chars[region] += len(text)
+        tags[region] += n
+        count[region] += 1
+
+    def content(regions: set[int], least: float) -> tuple[set[int], set[int]]:
+        dense = {r for r in regions if peak[r] >= least}
+        return {r for r in dense if count[r] == 1 and r in parser.semantic or chars[r] >= least * max(1, tags[r])}, dense
+
+    inside = {r for r in count if r in parser.semantic}
+    outside = {r for r in count if r >= 0} - inside
+    (kept, some), (others, dense) = content(inside, min(threshold, WITHIN)), content(outside, threshold)
+    kept = kept or others or some or dense or inside or outside
     return " ".join(text for region, text, _ in lines if region in kept)
 
 

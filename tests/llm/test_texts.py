@@ -195,6 +195,15 @@ def test_main_text():
     assert html_text.main_text(soup) == "A long paragraph of many words that stands in a plain container. End."
 
 
+def test_ratios_choose_within_an_article():
+    text, links = "A long paragraph of many words that stands in the article itself, and goes on.", "<li><a href=x>More</a></li><li><a href=y>News</a></li><li><a href=z>Tags</a></li>"
+    page = f"<body><article><header><h1>Head</h1></header><p>{text}</p><div><p>{text}</p><p>Short.</p></div><div><ul>{links}</ul></div><section><h2>Two</h2><p>{text}</p></section><ul>{links}</ul></article></body>"
+    assert html_text.main_text(page) == f"Head {text} {text} Short. Two {text}"
+    # an article of links alone doesn't hide the page's text
+    page = f"<body><article><ul>{links}{links}</ul></article><div><p>{text}</p><p>{text}</p><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"{text} {text} {text}"
+
+
 def test_pages_of_the_tables(small):
     import html
 
