@@ -1,31 +1,31 @@
 """Mixing domains to target weights with soft membership, in DataFrame functions only.
 
 A Bernoulli naive Bayes classifier, fitted on a labelled table, gives every
-document a posterior over the domains from the presence of a few learned words.
-Nonnegative document rates are then fitted by projected gradient steps of a
-least squares problem: the expected token total of each domain, the sum of
+document a posterior over the domains from the presence of each word of the learned
+vocabulary.  Nonnegative document rates are then fitted by projected gradient steps
+of a least squares problem: the expected token total of each domain, the sum of
 tokens x posterior x rate, is to match its target.
 
-Documents with the same word pattern have the same posterior and, as each step is
-taken per token, the same rate throughout.  So they are aggregated first: the
-steps run over patterns, at most 2**MAX_WORDS of them whatever the corpus.  The
-driver keeps one residual a domain and step; rates are refolded from these.
+Texts are read once for their posteriors; the steps run over these and the token
+counts.  The driver keeps one residual a domain and step; rates are refolded from
+these.  The vocabulary stands in the plan as arrays, searched by hash where the
+texts stand, so that no word is shuffled; the sample bounds it.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.bottomk import words
+from lakeweave.llm.bottomk import let, words
 from lakeweave.llm.common import materialise
 
 #: Labelled documents that are fitted at most, chosen by a hash of their id.
 MAX_LABELLED = 4_000
-#: Indicator words in all, and so bits of a pattern.
-MAX_WORDS = 14
+#: A word of the vocabulary is in so many labelled documents, or in one of so many of few.
+MIN_SEEN, SEEN_IN = 5, 50
+MAX_DOMAINS = 14
 STEPS = 30
 TOLERANCE = 1e-6
 
@@ -37,74 +37,97 @@ def labelled_sample(docs: DataFrame, labelled: DataFrame, domain: str, key: str,
     return rows.join(F.broadcast(ids), "id").select("id", "domain", F.array_distinct(words(F.col("text"))).alias("words"))  # ids: ``most`` rows
 
 
-def fit_classifier(sample: DataFrame, most_words: int = MAX_WORDS) -> dict:
-    """Domains, their log priors, the indicator words, and log odds of presence and absence."""
-    sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().orderBy("domain").limit(most_words + 1).collect()}
-    if len(sizes) > most_words:
-        raise ValueError(f"more than {most_words} domains")
+def fit_classifier(sample: DataFrame, min_seen: int = MIN_SEEN, seen_in: int = SEEN_IN) -> dict:
+    """Domains, ``slots``, the vocabulary's hashes by place (see ``places``), ``base``, the domains'
+    logits without any word, and ``weights``, what a word's presence adds, by place and domain."""
+    sizes = {r[0]: r[1] for r in sample.groupBy("domain").count().orderBy("domain").limit(MAX_DOMAINS + 1).collect()}
+    if len(sizes) > MAX_DOMAINS:
+        raise ValueError(f"more than {MAX_DOMAINS} domains")
     domains = sorted(sizes)
     if not domains:
-        return {"domains": [], "prior": [], "words": [], "present": [], "absent": []}
-    total = sum(sizes.values())
-    each = max(1, most_words // len(domains))
-    counts = sample.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
-    rates = [(F.col(f"n{k}") + 0.5) / F.lit(sizes[d] + 1.0) for k, d in enumerate(domains)]
-    others = [(sum((F.col(f"n{j}") for j in range(len(domains)) if j != k), F.lit(0)) + 0.5) / F.lit(total - sizes[d] + 1.0) for k, d in enumerate(domains)]
-    gains = F.array(*[F.struct((r * F.log(r / o)).alias("gain"), F.lit(k).alias("k")) for k, (r, o) in enumerate(zip(rates, others, strict=True))])
-    best = counts.select("*", F.explode(gains).alias("g")).withColumn("r", F.row_number().over(Window.partitionBy("g.k").orderBy(F.desc("g.gain"), "word")))
-    chosen = {}
-    for row in best.where(F.col("r") <= each).orderBy("g.k", "r").collect():
-        chosen.setdefault(row["word"], [row[f"n{k}"] for k in range(len(domains))])
-    p = [[(n + 1) / (sizes[d] + 2) for n, d in zip(row, domains, strict=True)] for row in chosen.values()]
-    return {
-        "domains": domains,
-        "prior": [math.log(sizes[d] / total) for d in domains],
-        "words": list(chosen),
-        "present": [[math.log(x) for x in row] for row in p],
-        "absent": [[math.log(1 - x) for x in row] for row in p],
-    }
+        return {"domains": [], "slots": [], "base": [], "weights": []}
+    counted = sample.select("domain", F.explode("words").alias("word")).groupBy(F.xxhash64("word").alias("hash")).agg(*[F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains)])
+    # bounded by the sample, which is bounded by its number of rows
+    seen = sum((F.col(f"n{k}") for k in range(len(domains))), F.lit(0))
+    rows = counted.where(seen >= min(min_seen, -(-sum(sizes.values()) // seen_in))).toPandas()
+    size = np.array([sizes[d] for d in domains], float)
+    rate = (rows[[f"n{k}" for k in range(len(domains))]].to_numpy(float) + 1) / (size + 2)
+    slots, place = places(rows["hash"].tolist())
+    weights = np.zeros((len(slots), len(domains)))
+    weights[place] = np.log(rate) - np.log(1 - rate)
+    base = np.log(size / size.sum()) + np.log(1 - rate).sum(0)
+    return {"domains": domains, "slots": slots, "base": base.tolist(), "weights": weights.ravel().tolist()}
+
+
+def places(hashes: list[int]) -> tuple[list[int], list[int]]:
+    """Cuckoo table of distinct hashes: each stands at its place in the first half, by its low
+    bits, or in the second half, by its high bits.  Returns the table and each hash's place."""
+    half = 1 << max(4, (len(hashes) * 10 // 9).bit_length())
+    while True:
+        table: list[int | None] = [None] * (2 * half)
+        for h in hashes:
+            side = 0
+            for _ in range(200):
+                at = (h >> 40) % half + half if side else h % half
+                h, table[at] = table[at], h
+                if h is None:
+                    break
+                side = 0 if at >= half else 1  # the one put out goes to its other place
+            if h is not None:
+                break
+        else:
+            where = {h: i for i, h in enumerate(table) if h is not None}
+            # empty places hold a number that isn't searched for there
+            return [{0: 1, half: 1 << 40}.get(i, 0) if h is None else h for i, h in enumerate(table)], [where[h] for h in hashes]
+        half *= 2
+
+
+def constant(values: list, kind: str) -> Column:
+    """A literal array, parsed once when the plan is made."""
+    return F.split(F.lit(",".join(f"{v:.6g}" if kind == "double" else str(v) for v in values)), ",").cast(f"array<{kind}>")
 
 
 def pattern(text: Column, model: dict) -> Column:
-    """The bits of the indicator words that a text has."""
-    padded = F.lower(F.coalesce(text, F.lit("")))
-    for c in "\n\t\r\f\v":
-        padded = F.replace(padded, F.lit(c), F.lit(" "))
-    padded = F.concat(F.lit(" "), padded, F.lit(" "))
-    return sum((F.when(F.contains(padded, F.lit(f" {w} ")), F.lit(1 << i)).otherwise(F.lit(0)) for i, w in enumerate(model["words"])), F.lit(0))
+    """The places of the vocabulary's words that a text has."""
+
+    def found(slots: Column) -> Column:
+        half = F.shiftright(F.size(slots), 1)
+
+        def place(h: Column) -> Column:
+            low, high = F.pmod(h, half).cast("int"), (F.pmod(F.shiftright(h, 40), half) + half).cast("int")
+            return F.when(F.get(slots, low) == h, low).when(F.get(slots, high) == h, high)
+
+        hashes = F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
+        return F.array_compact(F.transform(hashes, place))
+
+    return let(constant(model["slots"], "bigint"), found)
 
 
 def posterior(cell: Column, model: dict) -> Column:
     """P(domain | pattern) as an array in the order of the domains."""
-    logs = []
-    for k in range(len(model["domains"])):
-        terms = [F.when(cell.bitwiseAND(F.lit(1 << i)) != 0, F.lit(on[k])).otherwise(F.lit(off[k])) for i, (on, off) in enumerate(zip(model["present"], model["absent"], strict=True))]
-        logs.append(sum(terms, F.lit(model["prior"][k])))
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    exps = F.transform(F.array(*logs), lambda v: F.exp(v - top))
-    return F.transform(exps, lambda v: v / F.aggregate(exps, F.lit(0.0), lambda s, e: s + e))
-
+    n = len(model["domains"])
 
-def numbers(values: list[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]) if values else F.array().cast("array<double>")
+    def logit(weights: Column, k: int) -> Column:
+        return F.aggregate(cell, F.lit(model["base"][k]), lambda s, i: s + F.get(weights, i * n + k))
 
+    def share(logs: Column) -> Column:
+        return let(F.array_max(logs), lambda top: let(F.transform(logs, lambda v: F.exp(v - top)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda s, v: s + v), lambda total: F.transform(e, lambda v: v / total))))
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return let(constant(model["weights"], "double"), lambda w: let(F.array(*[logit(w, k) for k in range(n)]), share))
 
 
 def fit_rates(cells: DataFrame, model: dict, weights: dict[str, float] | None, budget: float | None, steps: int = STEPS) -> tuple[list[list[float]], dict]:
     """The steps' residuals over domain masses, and a report of totals.
 
-    ``cells(tokens, posterior)``.  A step takes r to max(0, r - posterior . residual /
+    ``cells(_p, _tokens)``: documents' posteriors and tokens.  A step takes r to max(0, r - posterior . residual /
     mass): the gradient of the mass-weighted squared residuals, per token.
     """
     domains = model["domains"]
     history: list[list[float]] = []
 
     def totals() -> list[float]:
-        rate = folded(F.col("posterior"), history)
-        got = cells.agg(*[F.sum(F.col("tokens") * F.get("posterior", F.lit(k)) * rate).alias(f"t{k}") for k in range(len(domains))]).first()
+        rated = cells.select("_p", "_tokens", folded(F.col("_p"), history).alias("_rate"))
+        got = rated.agg(*[F.sum(F.col("_tokens") * F.get("_p", F.lit(k)) * F.col("_rate")).alias(f"t{k}") for k in range(len(domains))]).first()
         return [float(v or 0) for v in got]
 
     mass = totals()
@@ -130,10 +153,10 @@ def fit_rates(cells: DataFrame, model: dict, weights: dict[str, float] | None, b
 
 def folded(p: Column, history: list[list[float]]) -> Column:
     """The rate of a posterior after the steps, from 1."""
-    if not history:
-        return F.lit(1.0)
-    past = F.array(*[numbers(h) for h in history])
-    return F.aggregate(past, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - dot(p, h)))
+    rate = F.lit(1.0)
+    for h in history:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.get(p, F.lit(k)) * F.lit(float(v)) for k, v in enumerate(h)), F.lit(0.0)))
+    return rate
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id", most: int = MAX_LABELLED):
@@ -142,11 +165,10 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
     ``weights`` are target shares of the token total by domain (equal by default; a
     domain without a weight gets none), ``budget`` the total.  Tokens are words.
     ``copies`` is the rate rounded up or down by a hash of the key, so that its mean is
-    the rate.  Null texts have no tokens, and a posterior as any text without indicator
-    words.  Without a labelled document every rate is 1 and the domain null.
+    the rate.  Null texts have no tokens, and a posterior as any text without a word of the
+    vocabulary.  Without a labelled document every rate is 1 and the domain null.
     """
     model = fit_classifier(labelled_sample(docs, labelled, domain, key, text, most))
-    count = F.size(words(F.col(f"`{text}`"))).cast("long")
     if not model["domains"]:
 
         def unlabelled(df: DataFrame, text: str = text, key: str = key) -> DataFrame:
@@ -154,33 +176,28 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
             return df.withColumn("_mix", F.struct(F.lit(None).cast("string").alias("domain"), n.alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")))
 
         return unlabelled, {"mass": [], "target": [], "reached": []}
-    cells = docs.select(pattern(F.col(f"`{text}`"), model).alias("_cell"), count.alias("_tokens"))
-    rates, report = pattern_rates(cells, model, weights, budget)
+    history, report = fit_rates(materialise(placed(docs, model, text), "posteriors"), model, weights, budget)
 
     def annotate(df: DataFrame, text: str = text, key: str = key) -> DataFrame:
-        own = {"_cell": pattern(F.col(f"`{text}`"), model), "_tokens": F.size(words(F.col(f"`{text}`"))).cast("long")}
-        return with_mix(df.withColumns(own), rates, key)
+        return with_mix(placed(df, model, text, df.columns), model, history, key)
 
     return annotate, {"domains": model["domains"], **report}
 
 
-def pattern_rates(cells: DataFrame, model: dict, weights: dict[str, float] | None, budget: float | None) -> tuple[DataFrame, dict]:
-    """``_cell, _domain, _rate`` of each word pattern, from documents' ``_cell, _tokens``; and the report of totals."""
-    cells = cells.groupBy("_cell").agg(F.sum("_tokens").alias("tokens"))
-    cells = materialise(cells.select("_cell", "tokens", posterior(F.col("_cell"), model).alias("posterior")), "cells")
-    history, report = fit_rates(cells, model, weights, budget)
-    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    named = F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), best)
-    return materialise(cells.select("_cell", named.alias("_domain"), folded(F.col("posterior"), history).alias("_rate")), "rates"), report
+def placed(df: DataFrame, model: dict, text: str, columns: list[str] | None = None) -> DataFrame:
+    """The columns, ``_p``, the posterior of each row's text, and ``_tokens``."""
+    cells = df.select(*[F.col(f"`{c}`") for c in columns or []], pattern(F.col(f"`{text}`"), model).alias("_cell"), F.size(words(F.col(f"`{text}`"))).cast("long").alias("_tokens"))
+    return cells.withColumn("_p", posterior(F.col("_cell"), model)).drop("_cell")
 
 
-def with_mix(df: DataFrame, rates: DataFrame, key: str) -> DataFrame:
-    """``_mix`` in place of ``_cell, _tokens``."""
+def with_mix(df: DataFrame, model: dict, history: list[list[float]], key: str) -> DataFrame:
+    """``_mix`` in place of ``_p, _tokens``."""
     place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    df = df.join(F.broadcast(rates), "_cell", "left")  # at most 2**MAX_WORDS rows
-    rate = F.coalesce("_rate", F.lit(1.0))
-    mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), rate.alias("rate"), F.floor(rate + place).cast("int").alias("copies"))
-    return df.withColumn("_mix", mix).drop("_cell", "_tokens", "_domain", "_rate")
+    best = F.array_position("_p", F.array_max("_p")).cast("int")
+    domain = F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), best)
+    df = df.withColumns({"_domain": domain, "_rate": folded(F.col("_p"), history)})
+    mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + place).cast("int").alias("copies"))
+    return df.withColumn("_mix", mix).drop("_p", "_tokens", "_domain", "_rate")
 
 
 def document_rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,11 +206,10 @@ def document_rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", w
     if not model["domains"]:
         annotate, _ = mixed(docs, labelled, domain, weights, budget, text, key)
         return annotate(docs.select(key, text)).select(key, "_mix.*")
-    # texts are read once for their patterns; the rest runs on three numbers a document
-    count = F.size(words(F.col(f"`{text}`"))).cast("long")
-    placed = materialise(docs.select(F.col(f"`{key}`"), pattern(F.col(f"`{text}`"), model).alias("_cell"), count.alias("_tokens")), "patterns")
-    rates, _ = pattern_rates(placed, model, weights, budget)
-    return with_mix(placed, rates, key).select(key, "_mix.*")
+    # texts are read once for their posteriors; the rest runs on a few numbers a document
+    rows = materialise(placed(docs, model, text, [key]), "posteriors")
+    history, _ = fit_rates(rows, model, weights, budget)
+    return with_mix(rows, model, history, key).select(key, "_mix.*")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -257,6 +257,16 @@ def test_mixing_meets_targets(spark, small):
     assert mixing.mixed_documents(frame, labels, weights=weights).count() == sum(r.copies for r in rows)
 
 
+def test_mixing_places_short_texts(spark):
+    # each text holds two of its language's 60 words, so that a few words say nothing of most texts
+    rows = [(i, f"{'xy'[i % 2]}{i * 7 % 60} {'xy'[i % 2]}{i * 11 % 60}", "xy"[i % 2]) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = mixing.document_rates(frame, frame.where("doc_id < 900")).join(frame, "doc_id").collect()
+    assert len(got) == 1200 and all(r.domain == r.lang for r in got)
+    table, at = mixing.places([h << 40 for h in range(1, 3000)])
+    assert [table[i] for i in at] == [h << 40 for h in range(1, 3000)]
+
+
 def test_mixing_edges(spark, docs, none):
     tagged = docs.withColumn("lang", F.when(F.col("doc_id") > 2, "en"))
     labels = spark.createDataFrame([(3,), (4,), (None,), (9,)], "doc_id long")
