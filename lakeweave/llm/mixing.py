@@ -165,7 +165,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
     ``weights`` are target shares of the token total by domain (equal by default; a
     domain without a weight gets none), ``budget`` the total.  Tokens are words.
     ``copies`` is the rate rounded up or down by a hash of the key, so that its mean is
-    the rate.  Null texts have no tokens, and a posterior as any text without a word of the
+    the rate; without a budget no document of a domain with a weight goes, though its
+    rate may fall a little under 1.  Null texts have no tokens, and a posterior as any text without a word of the
     vocabulary.  Without a labelled document every rate is 1 and the domain null.
     """
     model = fit_classifier(labelled_sample(docs, labelled, domain, key, text, most))
@@ -176,10 +177,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: d
             return df.withColumn("_mix", F.struct(F.lit(None).cast("string").alias("domain"), n.alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies")))
 
         return unlabelled, {"mass": [], "target": [], "reached": []}
+    keep = kept_domains(model, weights, budget)
     history, report = fit_rates(materialise(placed(docs, model, text), "posteriors"), model, weights, budget)
 
     def annotate(df: DataFrame, text: str = text, key: str = key) -> DataFrame:
-        return with_mix(placed(df, model, text, df.columns), model, history, key)
+        return with_mix(placed(df, model, text, df.columns), model, history, key, keep)
 
     return annotate, {"domains": model["domains"], **report}
 
@@ -190,13 +192,18 @@ def placed(df: DataFrame, model: dict, text: str, columns: list[str] | None = No
     return cells.withColumn("_p", posterior(F.col("_cell"), model)).drop("_cell")
 
 
-def with_mix(df: DataFrame, model: dict, history: list[list[float]], key: str) -> DataFrame:
-    """``_mix`` in place of ``_p, _tokens``."""
+def kept_domains(model: dict, weights: dict[str, float] | None, budget: float | None) -> list[str]:
+    """Domains whose documents all stay: by default those with a weight, under a budget none."""
+    return [d for d in model["domains"] if budget is None and (not weights or weights.get(d, 0.0) > 0)]
+
+
+def with_mix(df: DataFrame, model: dict, history: list[list[float]], key: str, keep: list[str]) -> DataFrame:
+    """``_mix`` in place of ``_p, _tokens``; documents of the domains in ``keep`` have a copy at least."""
     place = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(7)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     best = F.array_position("_p", F.array_max("_p")).cast("int")
     domain = F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), best)
     df = df.withColumns({"_domain": domain, "_rate": folded(F.col("_p"), history)})
-    mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), F.floor(F.col("_rate") + place).cast("int").alias("copies"))
+    mix = F.struct(F.col("_domain").alias("domain"), F.col("_tokens").alias("tokens"), F.col("_rate").alias("rate"), F.greatest(F.floor(F.col("_rate") + place).cast("int"), F.col("_domain").isin(keep).cast("int")).alias("copies"))
     return df.withColumn("_mix", mix).drop("_p", "_tokens", "_domain", "_rate")
 
 
@@ -209,7 +216,7 @@ def document_rates(docs: DataFrame, labelled: DataFrame, domain: str = "lang", w
     # texts are read once for their posteriors; the rest runs on a few numbers a document
     rows = materialise(placed(docs, model, text, [key]), "posteriors")
     history, _ = fit_rates(rows, model, weights, budget)
-    return with_mix(rows, model, history, key).select(key, "_mix.*")
+    return with_mix(rows, model, history, key, kept_domains(model, weights, budget)).select(key, "_mix.*")
 
 
 def mixed_documents(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, budget: float | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:

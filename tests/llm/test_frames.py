@@ -279,6 +279,15 @@ def test_mixing_edges(spark, docs, none):
     assert repeated.columns == clash.columns and repeated.count() == len(ROWS)
 
 
+def test_mixing_drops_no_document(spark):
+    p = [[0.5, 0.5]] * 4000  # a rate of 0.9: one in ten would go
+    frame = spark.createDataFrame([(i, x, 3) for i, x in enumerate(p)], "doc_id long, _p array<double>, _tokens long")
+    model = {"domains": ["a", "b"]}
+    copies = lambda weights, budget: {r[0] for r in mixing.with_mix(frame, model, [[0.1, 0.1]], "doc_id", mixing.kept_domains(model, weights, budget)).select("_mix.copies").collect()}
+    assert copies(None, None) == copies({"a": 1.0}, None) == {1}
+    assert copies({"b": 1.0}, None) == copies(None, 9000.0) == {0, 1}  # no weight, or too small a budget
+
+
 def test_annotated_passes_clashing_columns(spark):
     frame = spark.createDataFrame([(1, "t", "a", 2.0)], "row int, text string, value string, key double")
     out = common.annotated(frame, "text", lambda: lambda texts: [len(t) for t in texts], "long")
