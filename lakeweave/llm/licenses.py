@@ -1,25 +1,28 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs (lines) with a licence term are hashed into word uni-, bi- and
-trigrams and scored by a sparse multinomial logistic regression over licence
-families and an unknown class.  The probabilities are calibrated by a
-temperature fitted on folds left out, and a family stands only where the
-paragraph's n-grams also cover one of the family's template notices.
-
-A paragraph without any term of ``TERMS`` is unknown without scoring: the model
-has no positive evidence but n-grams of notices, all of which hold a term.
+Paragraphs are lines, and windows of up to ``WIDEST`` neighbouring lines for notices
+that are wrapped.  They are hashed into word uni-, bi- and trigrams and scored by a
+sparse multinomial logistic regression over licence families and an unknown class.
+The probabilities are calibrated by a temperature fitted on folds left out;
+``confirmed`` says that the n-grams cover one of the family's template notices too.
+
+Every line is scored.  A window counts only if it is confirmed, so those without an
+anchor are left out: ``ANCHORS`` holds words of each template, without which a text
+has too few of the template's n-grams to be confirmed.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm.bottomk import let
 
 UNKNOWN = "unknown"
-#: Substrings of the lower-case text, one of which every notice holds.
+#: Substrings of the lower-case text; a line with one has a row though it be unknown.
 TERMS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "creative commons", "permission is hereby", "redistribution and use", "spdx", "gnu ")
 #: Notices by family: what licences ask to be put into a work, and common short forms.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -43,6 +46,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Released under the GNU General Public License version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "Licensed under the GNU GPL v3.",
+        "Distributed under GPLv3.",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -115,9 +119,33 @@ DIMENSIONS = 2048
 #: Unlabelled paragraphs of the corpus that are fitted as unknown, at most, chosen by hash.
 MAX_NEGATIVES = 400
 CONFIRMED = 0.6
+#: Similarity from which a family stands in a line without a term: single common words ("mit" is
+#: German too) and hash collisions are probable at times, and cover next to nothing of a template.
+SUPPORTED = 0.4
+#: Lines of a window at most.
+WIDEST = 6
 PROBABLE = 0.5
 
 
+def anchors(notices: list[str]) -> list[str]:
+    """Words of which each text that is confirmed by one of the notices has one: of each
+    notice, words that are in more of its n-grams than a confirmed text may lack."""
+    out: set[str] = set()
+    for notice in notices:
+        own = re.findall(r"[^\W_]+", notice.lower())
+        grams = {(w,) for w in own} | set(zip(own, own[1:], strict=False))
+        chosen: set[str] = set()
+        for w in sorted(set(own), key=lambda w: (w not in out, -len(w), w)):  # longer words are rarer
+            if sum(not chosen.isdisjoint(g) for g in grams) > (1 - CONFIRMED) * len(grams) + 1e-9:
+                break
+            chosen.add(w)
+        out |= chosen
+    return sorted(out)
+
+
+ANCHORS = anchors([t for notices in TEMPLATES.values() for t in notices])
+
+
 def tokens(paragraph: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.regexp_extract_all(F.lower(paragraph), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
@@ -237,20 +265,33 @@ def weighted_sum(features: Column, table: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", model=None) -> DataFrame:
     """Licence paragraphs of ``docs``: ``key, position, family, probability, similarity, confirmed``.
 
-    One row for each line with a licence term; ``position`` counts lines from 0.
-    ``family`` is ``unknown`` where no family is probable; ``confirmed`` says that a
-    template covers it too.  Null and empty texts have no rows; null and repeated
-    keys are kept; other columns are not read.  Lines are scored where they stand,
-    so a notice in a third of all documents moves nothing.
+    One row for each line with a licence term (``family`` is ``unknown`` where none is probable)
+    or of a probable family that covers ``SUPPORTED`` of a template, and for each window of lines, without blank ones,
+    that is confirmed and holds no confirmed line or window of its family; ``position``
+    counts lines from 0 and is a window's first.  ``confirmed`` says that a template covers
+    the paragraph too.  Null and empty texts have no rows; null and repeated keys are kept;
+    other columns are not read.  Only paragraphs with a row are moved, by document.
     """
     model = model or train(docs.sparkSession, docs, text)
 
-    def termed(column: Column) -> Column:
+    def holds(column: Column, terms) -> Column:
         found = F.lit(False)
-        for term in reversed(TERMS):
+        for term in reversed(terms):
             found = F.contains(column, F.lit(term)) | found
         return found
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("low", F.lower("text")).where(termed(F.col("low")))
-    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("position", "paragraph")).where(termed(F.lower("paragraph")))
-    return scored(lines, model).select(F.col("key").alias(key), "position", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.split(text, "\n").alias("lines"))
+    near = F.slice(F.col("lines"), F.col("position") + 1, F.lit(WIDEST))
+    lines = rows.select("key", "row", "lines", F.posexplode("lines").alias("position", "paragraph")).where(F.trim("paragraph") != "")
+    single = scored(lines.select("key", "row", "position", F.col("position").alias("last"), "paragraph"), model).where((F.col("family") != UNKNOWN) & (F.col("similarity") >= SUPPORTED) | holds(F.lower("paragraph"), TERMS))
+    # windows of two and more lines, up to a blank one
+    wide = rows.where(F.size("lines") > 1).where(holds(F.lower(F.array_join("lines", " ")), ANCHORS))
+    wide = wide.select("key", "row", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)).alias("position")).select("key", "row", "position", near.alias("near"))
+    wide = wide.where(holds(F.lower(F.array_join("near", " ")), ANCHORS)).select("key", "row", "position", "near", F.explode(F.sequence(F.lit(2), F.size("near"))).alias("width"))
+    wide = wide.withColumn("near", F.slice("near", F.lit(1), F.col("width"))).where(~F.exists("near", lambda x: F.trim(x) == ""))
+    wide = wide.select("key", "row", "position", (F.col("position") + F.col("width") - 1).alias("last"), F.array_join("near", " ").alias("paragraph")).where(holds(F.lower("paragraph"), ANCHORS))
+    both = single.unionByName(scored(wide, model).where("confirmed"))
+    inner = Window.partitionBy("row", "family").orderBy(F.desc("position"), "last").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.min(F.when(F.col("confirmed"), F.col("last"))).over(inner) <= F.col("last"), F.lit(False))
+    kept = both.withColumn("held", held).where((F.col("position") == F.col("last")) | ~F.col("held"))
+    return kept.select(F.col("key").alias(key), "position", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")

@@ -233,6 +233,17 @@ def test_licences(spark, docs, none):
     assert licenses.scored(frame, model).where("family <> want or not confirmed").count() == 0
 
 
+def test_licences_over_lines_and_without_terms(spark, small):
+    model = licenses.train(spark, spark.read.parquet(f"{small}/documents.parquet"))
+    bsd = "intro line\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License\n\nother"
+    rows = [(1, bsd), (2, gpl), (3, "Released under MIT."), (4, "CC BY-SA 4.0"), (5, "Distributed under GPLv3")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=model).collect()
+    assert {(r.doc_id, r.position, r.family) for r in got if r.confirmed} >= {(1, 2, "bsd"), (2, 0, "gpl")}
+    assert {(r.doc_id, r.family) for r in got} >= {(3, "mit"), (4, "cc-by-sa"), (5, "gpl")}
+    assert len({(r.doc_id, r.family) for r in got if r.confirmed}) == sum(r.confirmed for r in got)
+
+
 def test_mixing_meets_targets(spark, small):
     frame, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     weights = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
