@@ -841,6 +841,14 @@ def bucketed_interval_join(spark, sf_dir):
     return history.bucketed_interval_join(events.select("event_id", "ts"), "ts", marks, "f", "t", F.col("t")).select("event_id", "session")
 
 
+@query()
+def bucketed_error_intervals(spark, sf_dir):
+    """Events within 90 minutes after an error, whoever's: every error opens an interval."""
+    events = table(spark, sf_dir, "events")
+    errors = events.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("f"), (F.col("ts") + F.make_dt_interval(mins=F.lit(90))).alias("t"))
+    return history.bucketed_interval_join(events.select("event_id", "ts"), "ts", errors, "f", "t", F.col("t")).select("event_id", "error_id")
+
+
 @query("SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, c_nationkey IS NOT NULL AS is_customer, s_nationkey IS NOT NULL AS is_supplier FROM (SELECT DISTINCT c_nationkey FROM customer) FULL JOIN (SELECT DISTINCT s_nationkey FROM supplier) ON c_nationkey = s_nationkey")
 def full_outer_origin_flags(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nationkey"))

@@ -330,3 +330,15 @@ def test_stream_profile(spark, tmp_path):
     q = windowed_counts(stream, "at", ["k"]).writeStream.outputMode("append").format("memory").queryName("win").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("win").agg(F.sum("n")).first()[0] > 0
+
+
+def test_bucketed_error_intervals_against_brute_force(spark, small):
+    from datetime import timedelta
+
+    from lakeweave import queries
+
+    events = spark.read.parquet(f"{small}/events.parquet").select("event_id", "event_type", "ts").collect()
+    errors = [(e.event_id, e.ts, e.ts + timedelta(minutes=90)) for e in events if e.event_type == "error"]
+    want = sorted((e.event_id, k) for e in events for k, f, t in errors if f <= e.ts < t)
+    assert len(errors) > len([e for e in events if e.event_id % 97 == 0])
+    assert sorted(map(tuple, queries.QUERIES["bucketed_error_intervals"](spark, small).collect())) == want
