@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,173 +17,110 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import repair
-from lakeweave.llm.common import scratch, small_batches
+from lakeweave.llm.common import scratch
 
 #: Characters of a block's texts, but for a longer last document.
 BLOCK_CHARS = 4_000_000
-#: Bytes whose words are hashed at a time.
-HASH_BYTES = 1 << 20
-#: Characters in which a chunk is cut by the pattern here; chunks with others are left to the library.
-PLAIN = "[!-~¡-¬®-ÿ]+"
-#: The tokenizer file's own pre-token pattern, over those characters in lower case.
-PRETOKEN = r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\na-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
-#: Stands for the end of a pre-token in the fast merger's vocabulary; no plain chunk holds it.
-MARK = "\0"
+#: Distinct chunks that a worker remembers with their ids; past it the memory is begun anew, which changes no id.
+MEMORY = 1_000_000
+#: A full stop or comma that ends a chunk after a letter.
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
-def merger(path: str):
-    """The same merges for tiktoken, which merges faster: (encoding, ids by rank).
+class Numbered(dict):
+    """Numbers the keys that it is asked for, from 0."""
 
-    A word's last character and ``</w>`` are one symbol from the start, so pairs of
-    a byte and the mark rank before all merges; merges rank in the file's order.
-    """
-    import json
-
-    import tiktoken
-
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocabulary = model["vocab"]
-    # byte-level files write a byte as a printable character: itself, or one from 256 on
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    as_byte = {chr(c): b for c, b in zip([*shown, *range(256, 256 + len(rest))], [*shown, *rest], strict=True)}
-
-    def raw(token: str) -> bytes:
-        end = token.endswith("</w>")
-        return bytes(as_byte[c] for c in (token[:-4] if end else token)) + MARK.encode() * end
-
-    ranks, ids = {}, []
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    alphabet = [t for t in vocabulary if len(t.removesuffix("</w>")) == 1]
-    order = [*sorted((t for t in alphabet if not t.endswith("</w>")), key=raw), *sorted((t for t in alphabet if t.endswith("</w>")), key=raw), *("".join(m) for m in merges)]
-    for token in order:
-        data = raw(token)
-        if data == MARK.encode():
-            continue
-        if data not in ranks:
-            ranks[data] = len(ids)
-            ids.append(vocabulary[token])
-    ranks[MARK.encode()] = len(ids)
-    ids.append(0)
-    ranks[b"\n"] = ranks.get(b"\n", len(ids))
-    ids += [0] * (len(ranks) - len(ids))
-    return tiktoken.Encoding("own", pat_str=r"[^\x00\n]+\x00|\n", mergeable_ranks=ranks, special_tokens={}), ids, ranks[b"\n"]
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
 
 
 class Encoder:
-    """Ids under a word-end BPE file of the tokenizers library.
+    """Ids under a BPE file of the tokenizers library whose tokens never span white space.
 
-    Its tokens never span white space and pre-tokens are encoded alone, so texts are
-    cut at spaces and line ends, each distinct chunk of a block is encoded once, and
-    the block's ids are gathered.  Plain chunks are merged in one call; others are
-    left to the library.
+    Texts are cut at ASCII white space, and each distinct chunk is encoded by the
+    library once, all new chunks of a block in one call, separated by spaces; the
+    block's ids are gathered.  Chunks are told apart by their bytes.  Where the file
+    makes small letters of capitals, texts are lowered first, so that there are fewer
+    chunks; where it cuts before a full stop or comma after a letter, so is the chunk.
     """
 
-    def __init__(self, path: str):
-        import sys
-        import types
-
+    def __init__(self, path: str, memory: int = MEMORY):
         from tokenizers import Tokenizer
 
-        # what a worker process keeps between tasks
-        state = sys.modules.setdefault("_lakeweave_worker", types.ModuleType("_lakeweave_worker"))
-        kept = state.__dict__.setdefault("word_encoders", {})
-        if path not in kept:
-            kept[path] = (Tokenizer.from_file(path), merger(path))
-        self.tokenizer, (self.merges, ids, self.line) = kept[path]
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         self.terminals = max(self.tokenizer.get_vocab().values()) + 1
         self.kind = np.uint16 if self.terminals < 60_000 else np.uint32
-        self.ids = np.array(ids, self.kind)
-        self.plain, self.lines = re.compile(PLAIN), re.compile(PLAIN[:-2] + "\n]*")
-        self.words = re.compile(PRETOKEN)
-        self.powers: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def merged(self, chunks: str) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of plain chunks, one a line, and each chunk's first place in them, and the end."""
-        ranks = np.array(self.merges.encode_ordinary(self.words.sub("\\g<0>\0", chunks.lower())), np.int32)
-        lines = np.flatnonzero(ranks == self.line)
-        ids = self.ids[np.delete(ranks, lines)]
-        return ids, np.concatenate([[0], lines - np.arange(len(lines)), [len(ids)]])
-
-    def chunk_ids(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of distinct chunks, one after another, and the places where each begins, and the end."""
-        joined = b"\n".join(chunks).decode("utf-8", "replace")
-        if self.lines.fullmatch(joined) and "<|" not in joined:
-            return self.merged(joined)
-        texts = joined.split("\n")
-        easy = [bool(self.plain.fullmatch(c)) and "<|" not in c for c in texts]
-        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
-        plain = [i for i, e in enumerate(easy) if e]
-        if plain:
-            ids, first = self.merged("\n".join([texts[i] for i in plain]))
-            for i, a, b in zip(plain, first.tolist(), first[1:].tolist(), strict=False):
-                out[i] = ids[a:b]
-        rest = [i for i, e in enumerate(easy) if not e]
-        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.kind)
-        return np.concatenate(out), np.append(0, np.cumsum([len(x) for x in out]))
-
-    def hashes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Two polynomial hashes modulo 2**64 of each chunk, from prefix sums."""
-        if not self.powers or len(self.powers[0][0]) <= len(buffer):
-            n = max(len(buffer), HASH_BYTES) + 1
-            self.powers = []
-            for base in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
-                inverse = pow(base, -1, 1 << 64)
-                self.powers.append(tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (base, inverse)))
-        values = buffer.astype(np.uint64) + np.uint64(1)
-        out = []
-        for power, inverse in self.powers:
-            sums = np.zeros(len(buffer) + 1, np.uint64)
-            np.cumsum(values * power[: len(buffer)], out=sums[1:])
-            out.append((sums[ends] - sums[starts]) * inverse[starts])
-        return out
+        capitals, small = (bytes(range(a, a + 26)).decode() for a in (65, 97))
+        normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.lowers = normalizer is not None and normalizer.normalize_str(capitals) == small
+        self.stops = cutter is not None and self.lowers and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, y] for x in small for y in ".,")
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spaced = (self.ids(x) for x in ("a b", "a. b", "a \n b\t"))
+        if [list(x) for x in spaced] != [[*self.ids("a"), *self.ids("b")], [*self.ids("a."), *self.ids("b")], [*self.ids("a"), *self.ids("b")]]:
+            raise ValueError("the file's tokens hold white space")
+        self.forget()
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def forget(self) -> None:
+        self.chunks, self.pool, self.begin = Numbered(), np.empty(0, self.kind), np.zeros(1, np.int64)
+
+    def split(self, text: str | None) -> list[bytes]:
+        """A text's chunks."""
+        data = (text or "").encode("utf-8", "replace")
+        if self.lowers:
+            lower = data.lower()
+            if not any(x in lower for x in self.special):  # these are themselves in small letters only
+                data = STOP.sub(rb" \1", lower) if self.stops else lower
+        return data.split()
+
+    def learn(self) -> None:
+        """Encodes the chunks that have a number and no ids yet."""
+        new = list(islice(self.chunks, len(self.begin) - 1, None))
+        if not new:
+            return
+        texts = [x.decode() for x in new]
+        encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+        ids = np.array(encoding.ids, self.kind)
+        at = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids))[::2]
+        starts = np.cumsum([0, *(len(x) + 1 for x in texts)])[1:]  # a token at or past it is of a later chunk
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.searchsorted(at, starts)])
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and the place past each text's end id."""
-        data = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-        found, at = [], 0
-        while at < len(data):  # whole documents of about HASH_BYTES
-            stop, size = at, 0
-            while stop < len(data) and (stop == at or size + len(data[stop]) <= HASH_BYTES):
-                size += len(data[stop]) + 1
-                stop += 1
-            joined = b"\n".join(data[at:stop])
-            buffer = np.frombuffer(joined, np.uint8)
-            inside = np.concatenate([[False], (buffer != 32) & (buffer != 10), [False]])
-            starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-            firsts = np.cumsum([0, *(len(x) + 1 for x in data[at:stop])])[:-1]
-            document = at + np.searchsorted(firsts, starts, "right") - 1
-            found.append((joined, starts, ends, document, *self.hashes(buffer, starts, ends)))
-            at = stop
-        if not found or not sum(len(f[1]) for f in found):
-            return np.full(len(texts), end_id, self.kind), np.arange(1, len(texts) + 1)
-        document, one, two = (np.concatenate([f[k] for f in found]) for k in (3, 4, 5))
-        _, first, which = np.unique(one, return_index=True, return_inverse=True)
-        if not np.array_equal(two[first][which], two):  # two chunks of one hash: tell them apart by both
-            _, first, which = np.unique(np.stack([one, two], 1), axis=0, return_index=True, return_inverse=True)
-            which = which.ravel()
-        before = np.cumsum([0, *(len(f[1]) for f in found)])
-        part = np.searchsorted(before, first, "right") - 1
-        own = first - before[part]
-        chunks = [None] * len(first)
-        for k, (joined, starts, ends, *_) in enumerate(found):
-            mine = np.flatnonzero(part == k)
-            for i, a, b in zip(mine.tolist(), starts[own[mine]].tolist(), ends[own[mine]].tolist(), strict=True):
-                chunks[i] = joined[a:b]
-        pool, begin = self.chunk_ids(chunks)
-        n = np.diff(begin)[which]
+        if len(self.chunks) > self.memory:
+            self.forget()
+        words = [self.split(x) for x in texts]
+        many = np.fromiter(map(len, words), np.int64, len(words))
+        which = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(words)), np.int64, int(many.sum()))
+        self.learn()
+        first = self.begin[which]
+        n = self.begin[which + 1] - first
         stop = np.cumsum(n)
-        ids = pool[np.arange(int(stop[-1])) + np.repeat(begin[which] - (stop - n), n)]
-        ends = np.cumsum(np.bincount(document, n, len(texts)).astype(np.int64) + 1)
-        out = np.empty(int(ends[-1]), self.kind)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.pool[np.arange(total) + np.repeat(first - (stop - n), n)]
+        ends = np.append(0, stop)[np.cumsum(many)] + np.arange(1, len(texts) + 1)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, self.kind)
         free = np.ones(len(out), bool)
         free[ends - 1] = False
         out[free], out[ends - 1] = ids, end_id
         return out, ends
 
 
+def encoder(path: str) -> Encoder:
+    """The worker process's encoder of a file; it outlives the task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_lakeweave_worker", types.ModuleType("_lakeweave_worker")).__dict__.setdefault("word_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, text: str = "text", key: str = "doc_id", block_chars: int = BLOCK_CHARS) -> None:
     """Writes blocks of ``docs`` to ``path``, in ascending order of the integer ``key``.
 
@@ -196,14 +134,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         part, block, start = TaskContext.get().partitionId(), 0, 0
         keys, texts, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal block, start, keys, texts, held
-            ids, ends = encoder.encode(texts, end_id)
-            packed = repair.compress(ids, ends, end_id, encoder.terminals)
+            ids, ends = own.encode(texts, end_id)
+            packed = repair.compress(ids, ends, end_id, own.terminals)
             row = pa.record_batch(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
                 names=["part", "block", "start", "n_tokens", "keys", "data"],
@@ -222,7 +160,6 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
         if keys:
             yield flush()
 
-    small_batches(docs.sparkSession)
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
     ordered.mapInArrow(run, "part int, block int, start long, n_tokens long, keys array<bigint>, data binary").write.parquet(path)
 
@@ -238,7 +175,8 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
         import zlib
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 block = repair.Block(row["data"])
                 sizes = block.sizes()
                 stop = np.cumsum(sizes)
@@ -255,8 +193,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
     for part, n in totals:
         sums.append((part, before))
         before += n
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    offsets = spark.createDataFrame(sums, "part int, before long")
+    offsets = F.broadcast(spark.createDataFrame(sums, "part int, before long"))  # two numbers a part
     return blocks.join(offsets, "part").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
