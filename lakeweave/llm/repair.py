@@ -20,7 +20,9 @@ SLOT_BITS = 20
 
 def slots(keys: np.ndarray) -> np.ndarray:
     """Places of pairs in a hash table."""
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min_count: int = 12) -> bytes:
@@ -49,7 +51,10 @@ def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min
             begin = np.concatenate([[True], here[1:] != here[:-1] + 1])
             odd = same[(nth - np.maximum.accumulate(np.where(begin, nth, 0))) % 2 == 1]
             between = at[odd]
-            at, left, right = np.delete(at, odd), np.delete(left, odd), np.delete(right, odd)
+            even = np.ones(len(at), bool)
+            even[odd] = False
+            even = np.flatnonzero(even)
+            at, left, right = at.take(even), left.take(even), right.take(even)
         bits = (len(lengths) - 1).bit_length()
         kind = np.uint32 if bits <= 16 else np.uint64
         keys = left.astype(kind) << kind(bits) | right.astype(kind)
@@ -71,28 +76,32 @@ def compress(ids: np.ndarray, ends: np.ndarray, end_id: int, terminals: int, min
         # pairs are found by hash; those whose place another pair took, by search
         table = np.full(1 << SLOT_BITS, -1, np.int32)
         table[slots(frequent)] = np.arange(len(frequent))
-        order = table[slots(keys)]
+        order = table.take(slots(keys))
         near = np.flatnonzero(order >= 0)
-        order = order[near]
-        other = np.flatnonzero(frequent[order] != keys[near])
-        order[other] = np.minimum(np.searchsorted(frequent, keys[near[other]]), len(frequent) - 1)
-        found = frequent[order] == keys[near]
-        at, order = at[near[found]], order[found]
+        order, at, keys = order.take(near), at.take(near), keys.take(near)
+        other = np.flatnonzero(frequent.take(order) != keys)
+        order[other] = np.minimum(np.searchsorted(frequent, keys[other]), len(frequent) - 1)
+        found = np.ones(len(order), bool)
+        found[other] = frequent[order[other]] == keys[other]
+        found = np.flatnonzero(found)
+        at, order = at.take(found), order.take(found)
         live[:] = False
         live[at] = True
         if len(same):  # these come to count when the run's first symbol goes
             live[between] = True
         rule = np.full(len(frequent), -1, np.int64)
         rule[np.searchsorted(frequent, chosen[:, 0].astype(kind) << kind(bits) | chosen[:, 1].astype(kind))] = np.arange(len(chosen)) + len(lengths)
-        new = rule[order]
-        where, new = at[new >= 0], new[new >= 0]
+        new = rule.take(order)
+        taken = np.flatnonzero(new >= 0)
+        where, new = at.take(taken), new.take(taken)
         seq[where] = new
         stay = np.ones(len(seq), bool)
         stay[where + 1] = False
         firsts = firsts - np.searchsorted(where + 1, firsts)
         live[where] = True
         moved = where - np.arange(len(where))  # the new symbols' places
-        seq, live = seq[stay], live[stay]
+        stay = np.flatnonzero(stay)
+        seq, live = seq.take(stay), live.take(stay)
         live[np.maximum(moved - 1, 0)] = True
         pairs.append(chosen)
         lengths = np.concatenate([lengths, lengths[chosen[:, 0]] + lengths[chosen[:, 1]]])

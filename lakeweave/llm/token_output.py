@@ -7,7 +7,6 @@ so a lost task leaves nothing behind and any store that Spark writes will do.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import chain, islice
 
@@ -23,8 +22,6 @@ from lakeweave.llm.common import scratch
 BLOCK_CHARS = 4_000_000
 #: Distinct chunks that a worker remembers with their ids; past it the memory is begun anew, which changes no id.
 MEMORY = 1_000_000
-#: A full stop or comma that ends a chunk after a letter.
-STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \t\n\r\x0b\x0c]|\Z)")
 
 
 class Numbered(dict):
@@ -42,7 +39,7 @@ class Encoder:
     library once, all new chunks of a block in one call, separated by spaces; the
     block's ids are gathered.  Chunks are told apart by their bytes.  Where the file
     makes small letters of capitals, texts are lowered first, so that there are fewer
-    chunks; where it cuts before a full stop or comma after a letter, so is the chunk.
+    chunks; where it cuts between a letter and a following mark, so is the chunk.
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -54,8 +51,10 @@ class Encoder:
         capitals, small = (bytes(range(a, a + 26)).decode() for a in (65, 97))
         normalizer, cutter = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.lowers = normalizer is not None and normalizer.normalize_str(capitals) == small
-        self.stops = cutter is not None and self.lowers and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, y] for x in small for y in ".,")
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+        self.stops = cutter is not None and self.lowers and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, y] for x in small for y in ".,")
+        self.stops = self.stops and not any(y in x for x in self.special for y in (b".", b","))
         spaced = (self.ids(x) for x in ("a b", "a. b", "a \n b\t"))
         if [list(x) for x in spaced] != [[*self.ids("a"), *self.ids("b")], [*self.ids("a."), *self.ids("b")], [*self.ids("a"), *self.ids("b")]]:
             raise ValueError("the file's tokens hold white space")
@@ -67,14 +66,26 @@ class Encoder:
     def forget(self) -> None:
         self.chunks, self.pool, self.begin = Numbered(), np.empty(0, self.kind), np.zeros(1, np.int64)
 
-    def split(self, text: str | None) -> list[bytes]:
-        """A text's chunks."""
-        data = (text or "").encode("utf-8", "replace")
+    def split(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
+        """The texts' chunks, and how many each text has."""
+        data = [(x or "").encode("utf-8", "replace") for x in texts]
+        firsts = np.cumsum([0, *(len(x) + 1 for x in data)])[:-1]
+        joined = b"\n".join([*data, b""])
         if self.lowers:
-            lower = data.lower()
-            if not any(x in lower for x in self.special):  # these are themselves in small letters only
-                data = STOP.sub(rb" \1", lower) if self.stops else lower
-        return data.split()
+            lower = joined.lower()
+            if any(x in lower for x in self.special):  # these are themselves in small letters only
+                lower = b"\n".join([*(x if any(y in x.lower() for y in self.special) else x.lower() for x in data), b""])
+            joined = lower
+        buffer = np.frombuffer(joined, np.uint8)
+        blank = (buffer == 32) | (buffer - np.uint8(9) < 5)
+        first = ~blank
+        first[1:] &= blank[:-1]
+        if self.stops and len(buffer) > 2:
+            stop = (buffer == 44) | (buffer == 46)
+            at = np.flatnonzero(stop[1:-1] & blank[2:] & (buffer[:-2] - np.uint8(97) < 26)) + 1
+            first[at] = True
+            joined = np.insert(buffer, at, 32).tobytes()
+        return joined.split(), np.add.reduceat(first, firsts, dtype=np.int64)
 
     def learn(self) -> None:
         """Encodes the chunks that have a number and no ids yet."""
@@ -93,9 +104,10 @@ class Encoder:
         """The ids of all texts, each followed by ``end_id``, and the place past each text's end id."""
         if len(self.chunks) > self.memory:
             self.forget()
-        words = [self.split(x) for x in texts]
-        many = np.fromiter(map(len, words), np.int64, len(words))
-        which = np.fromiter(map(self.chunks.__getitem__, chain.from_iterable(words)), np.int64, int(many.sum()))
+        if not texts:
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        words, many = self.split(texts)
+        which = np.fromiter(map(self.chunks.__getitem__, words), np.int32, len(words))
         self.learn()
         first = self.begin[which]
         n = self.begin[which + 1] - first
@@ -103,7 +115,7 @@ class Encoder:
         total = int(stop[-1]) if len(stop) else 0
         ids = self.pool[np.arange(total) + np.repeat(first - (stop - n), n)]
         ends = np.append(0, stop)[np.cumsum(many)] + np.arange(1, len(texts) + 1)
-        out = np.empty(int(ends[-1]) if len(ends) else 0, self.kind)
+        out = np.empty(int(ends[-1]), self.kind)
         free = np.ones(len(out), bool)
         free[ends - 1] = False
         out[free], out[ends - 1] = ids, end_id
