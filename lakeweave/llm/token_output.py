@@ -21,7 +21,7 @@ from lakeweave.llm.common import scratch
 #: Characters of a block's texts, but for a longer last document.
 BLOCK_CHARS = 4_000_000
 #: Distinct chunks that a worker remembers with their ids; past it the memory is begun anew, which changes no id.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 
 
 class Numbered(dict):
@@ -53,8 +53,13 @@ class Encoder:
         self.lowers = normalizer is not None and normalizer.normalize_str(capitals) == small
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-        self.stops = cutter is not None and self.lowers and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, y] for x in small for y in ".,")
-        self.stops = self.stops and not any(y in x for x in self.special for y in (b".", b","))
+        def cuts(mark: str) -> bool:
+            probes = [(x, mark + z) for x in small for z in ("", mark, small, f" {small}")]
+            return not any(mark.encode() in x[1:] for x in self.special) and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, *(p for p, _ in cutter.pre_tokenize_str(y))] for x, y in probes)
+
+        self.marks = np.zeros(256, bool)
+        if cutter is not None and self.lowers:
+            self.marks[[y for y in range(33, 127) if not chr(y).isalnum() and cuts(chr(y))]] = True
         spaced = (self.ids(x) for x in ("a b", "a. b", "a \n b\t"))
         if [list(x) for x in spaced] != [[*self.ids("a"), *self.ids("b")], [*self.ids("a."), *self.ids("b")], [*self.ids("a"), *self.ids("b")]]:
             raise ValueError("the file's tokens hold white space")
@@ -80,9 +85,8 @@ class Encoder:
         blank = (buffer == 32) | (buffer - np.uint8(9) < 5)
         first = ~blank
         first[1:] &= blank[:-1]
-        if self.stops and len(buffer) > 2:
-            stop = (buffer == 44) | (buffer == 46)
-            at = np.flatnonzero(stop[1:-1] & blank[2:] & (buffer[:-2] - np.uint8(97) < 26)) + 1
+        if self.marks.any():
+            at = np.flatnonzero(self.marks.take(buffer[1:]) & (buffer[:-1] - np.uint8(97) < 26)) + 1
             first[at] = True
             joined = np.insert(buffer, at, 32).tobytes()
         return joined.split(), np.add.reduceat(first, firsts, dtype=np.int64)
