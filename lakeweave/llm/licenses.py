@@ -1,29 +1,29 @@
 """Licence scan: a trained paragraph classifier, in DataFrame functions only.
 
-Paragraphs are lines, and windows of up to ``WIDEST`` neighbouring lines for notices
-that are wrapped.  They are hashed into word uni-, bi- and trigrams and scored by a
-sparse multinomial logistic regression over licence families and an unknown class.
-The probabilities are calibrated by a temperature fitted on folds left out;
-``confirmed`` says that the n-grams cover one of the family's template notices too.
-
-Every line is scored.  A window counts only if it is confirmed, so those without an
-anchor are left out: ``ANCHORS`` holds words of each template, without which a text
-has too few of the template's n-grams to be confirmed.
+A paragraph ends at a blank line, or where a line ends a sentence, so that wrapped
+notices are one.  Its distinct word uni-, bi- and trigrams are scored by a sparse
+multinomial logistic regression over the licence families, ``unknown`` (licence
+language of no family here) and ``none`` (anything else).  Probabilities are
+calibrated by a temperature fitted on notices left out; ``confirmed`` says that the
+paragraph covers one of the family's template notices too.
+
+Every paragraph is classified, and those of class ``none`` have no row.  The trained
+weights bound what the words of a text can add (see ``potentials``); texts and paragraphs
+whose words can't bring them out of class ``none`` are not cut into n-grams.
 """
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm.bottomk import let
 
-UNKNOWN = "unknown"
-#: Substrings of the lower-case text; a line with one has a row though it be unknown.
-TERMS = ("licens", "licenc", "copyright", "rights reserved", "public domain", "creative commons", "permission is hereby", "redistribution and use", "spdx", "gnu ")
+UNKNOWN, NONE = "unknown", "none"
 #: Notices by family: what licences ask to be put into a work, and common short forms.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "apache": (
@@ -35,6 +35,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "mit": (
         "Released under the MIT License.",
+        "MIT License",
+        "This code is MIT licensed.",
         "Licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software")',
         "SPDX-License-Identifier: MIT",
@@ -51,11 +53,13 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ),
     "agpl": (
         "Licensed under the GNU Affero General Public License, version 3.",
         "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
         "SPDX-License-Identifier: AGPL-3.0-only",
     ),
     "bsd": (
@@ -71,6 +75,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "isc": (
         "Released under the ISC License.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
         "SPDX-License-Identifier: ISC",
     ),
     "cc0": (
@@ -100,7 +105,26 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Confidential and proprietary. All rights reserved.",
     ),
 }
-#: Paragraphs that use the terms and grant nothing.
+#: Licence language of no family above.
+UNLISTED = (
+    "Licensed under the Eclipse Public License v2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "SPDX-License-Identifier: BSL-1.0",
+    "This software is provided 'as-is', without any express or implied warranty.",
+    'The software is provided "as is", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.',
+    "in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose.",
+    "Released under the Artistic License 2.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "Released under a custom license.",
+    "Licensed under the terms in the file LICENSE.",
+    "See the LICENSE file for details.",
+    "Use of this source code is governed by a license that can be found in the LICENSE file.",
+    "Distributed under the license agreement that comes with the package.",
+)
+#: Paragraphs that use the terms, or words of licence names, and grant nothing.
 OTHER = (
     "He renewed his driving licence at the office in the city.",
     "A new licence plate was put on the car.",
@@ -114,53 +138,66 @@ OTHER = (
     "Software licensing costs rose in the last year.",
     "The creative commons of the village were a meadow and a well.",
     "She asked which license the package has, and nobody knew.",
+    "The driver had no license with him, and the pilot's license was renewed later.",
+    "Er fuhr mit dem Zug und kam mit dem Bus zurück.",
+    "The house by the lake was sold by the owner.",
+    "Version 2.0 of the plan was published by the city, and version 3 follows.",
+    "All seats are reserved for the members.",
+    "The public was asked for permission.",
+    "The program is free for all persons under the age of ten.",
+    "Apache tribes lived in the public lands, and the Mozilla browser was not known.",
+    "Redistribution of income is the subject of the general debate.",
+    "International work on a common source of the data goes on under new terms.",
 )
-DIMENSIONS = 2048
-#: Unlabelled paragraphs of the corpus that are fitted as unknown, at most, chosen by hash.
+#: Unlabelled paragraphs of the corpus that are fitted as ``none``, at most, from as many documents as
+#: a quarter of it, chosen by hash; those with one of ``TERMS`` are left out.
 MAX_NEGATIVES = 400
+TERMS = ("licens", "licenc", "copyright", "reserved", "public domain", "creative commons", "permission", "redistribut", "spdx", "gnu ", "warrant")
 CONFIRMED = 0.6
-#: Similarity from which a family stands in a line without a term: single common words ("mit" is
-#: German too) and hash collisions are probable at times, and cover next to nothing of a template.
-SUPPORTED = 0.4
-#: Lines of a window at most.
-WIDEST = 6
+#: N-grams of the vocabulary that a paragraph counts as having at least: fewer are little evidence.
+LEAST_NORM = 4
+#: Words in more than this share of the sampled corpus paragraphs are common.
+COMMON = 0.003
 PROBABLE = 0.5
+#: Ends of paragraphs: a blank line, or a line end after a sentence.
+PARAGRAPH = r"(?:(?<=[.!?])[ \t\r]*\n|\n[ \t\r]*\n)\s*"
 
 
-def anchors(notices: list[str]) -> list[str]:
-    """Words of which each text that is confirmed by one of the notices has one: of each
-    notice, words that are in more of its n-grams than a confirmed text may lack."""
-    out: set[str] = set()
-    for notice in notices:
-        own = re.findall(r"[^\W_]+", notice.lower())
-        grams = {(w,) for w in own} | set(zip(own, own[1:], strict=False))
-        chosen: set[str] = set()
-        for w in sorted(set(own), key=lambda w: (w not in out, -len(w), w)):  # longer words are rarer
-            if sum(not chosen.isdisjoint(g) for g in grams) > (1 - CONFIRMED) * len(grams) + 1e-9:
-                break
-            chosen.add(w)
-        out |= chosen
-    return sorted(out)
+def tokens(paragraph: Column) -> Column:
+    """Lower-case words of letters and digits."""
+    return F.array_remove(F.split(F.lower(paragraph), r"[^\p{L}\p{N}]+"), "")
 
 
-ANCHORS = anchors([t for notices in TEMPLATES.values() for t in notices])
+def grams(words: Column, most: int = 3) -> Column:
+    """The distinct n-grams of a word array up to ``most`` words, joined by spaces."""
 
+    def several(n: int) -> Column:
+        if n == 1:
+            return words
+        at = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
+        return F.when(F.size(words) >= n, at).otherwise(F.array().cast("array<string>"))
 
-def tokens(paragraph: Column) -> Column:
-    """Lower-case words of letters and digits."""
-    return F.regexp_extract_all(F.lower(paragraph), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_distinct(F.concat(*[several(n) for n in range(1, most + 1)]))
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """The distinct n-grams of a word array, joined by spaces."""
-    several = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)]))
-    return F.when(F.size(words) >= n, F.array_distinct(several)).otherwise(F.array().cast("array<string>"))
+def notice_grams(notice: str, most: int = 2) -> list[str]:
+    """The n-grams of a template, as ``grams`` gives them."""
+    import re
 
+    words = re.findall(r"[^\W_]+", notice.lower())
+    return list(dict.fromkeys(" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)))
 
-def hashed(words: Column) -> Column:
-    """Feature numbers of a paragraph: hashed uni-, bi- and trigrams."""
-    grams = F.concat(*[ngrams(words, n) for n in (1, 2, 3)])
-    return F.array_distinct(F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(DIMENSIONS)).cast("int")))
+
+@dataclass
+class Model:
+    """Classes (families, unknown, none), the n-grams with a weight, weights by n-gram (the last
+    row is the intercept) and class, the temperature, and the words' potentials."""
+
+    classes: list[str]
+    vocabulary: list[str]
+    weights: np.ndarray
+    temperature: float
+    potentials: dict[str, float]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -168,130 +205,166 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200, rate: float = 4.0, l1: float = 2e-4) -> np.ndarray:
+def fit(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 400, rate: float = 4.0, l1: float = 2e-4) -> np.ndarray:
     """Multinomial logistic regression by proximal gradient steps; the L1 penalty leaves few
     weights.  Classes weigh the same.  The last column of ``x`` is the intercept."""
-    used = np.append(np.flatnonzero(x[:, :-1].any(0)), x.shape[1] - 1)
-    own, out = np.ascontiguousarray(x[:, used], np.float32), np.zeros((x.shape[1], classes))
+    own, out = np.ascontiguousarray(x, np.float32), np.zeros((x.shape[1], classes), np.float32)
     weight = ((1 / np.bincount(y, minlength=classes).clip(1))[y][:, None] / classes).astype(np.float32)
-    target, w = np.eye(classes, dtype=np.float32)[y], np.zeros((len(used), classes), np.float32)
+    target = np.eye(classes, dtype=np.float32)[y]
     for _ in range(rounds):
-        w -= rate * (own.T @ (weight * (softmax(own @ w) - target)))
-        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - rate * l1, 0)
-    out[used] = w
-    return out
-
-
-def matrix(rows: list[list[int]]) -> np.ndarray:
-    """Rows of unit length, and the intercept."""
-    x = np.zeros((len(rows), DIMENSIONS + 1))
-    for i, row in enumerate(rows):
-        x[i, row] = 1 / np.sqrt(max(1, len(row)))
-        x[i, -1] = 1
-    return x
+        out -= rate * (own.T @ (weight * (softmax(own @ out) - target)))
+        out[:-1] = np.sign(out[:-1]) * np.maximum(np.abs(out[:-1]) - rate * l1, 0)
+    return out.astype(float)
 
 
-def train(spark: SparkSession, docs: DataFrame | None = None, text: str = "text") -> tuple[list[str], np.ndarray, float]:
-    """Families (unknown last), weights and temperature.
+def potentials(vocabulary: list[str], weights: np.ndarray, rarity: dict[str, int]) -> dict[str, float]:
+    """What each word can add to a paragraph's way out of class ``none`` (the last); below 1 in
+    sum, a paragraph is of that class.
 
-    Fitted on the templates, the other uses, both also amid words of the corpus,
-    and up to ``MAX_NEGATIVES`` corpus paragraphs without a term.
+    A class beats ``none`` only if its n-grams' weights above those of ``none`` sum up to what
+    ``none`` has more as intercept, times the root of ``LEAST_NORM``, which sums are divided by
+    at least.  An n-gram's weight is put on its rarest word, without which it can't be there.
+    Empty, for no filter, where an intercept alone suffices.
     """
-    families = [*TEMPLATES, UNKNOWN]
+    need = (weights[-1, -1] - weights[-1, :-1]) * np.sqrt(LEAST_NORM)
+    if (need <= 1e-6).any():
+        return {}
+    above, own = np.maximum(weights[:-1, :-1] - weights[:-1, -1:], 0), {}
+    for i, g in enumerate(vocabulary):
+        word = min(g.split(), key=lambda w: (rarity.get(w, 0), -len(w), w))
+        own[word] = own.get(word, 0) + above[i]
+    out = {w: float(np.ceil((v / need).max() * 1e6 + 1) / 1e6) for w, v in own.items()}
+    return {w: v for w, v in sorted(out.items()) if v > 2e-6} or {"": 0.0}
+
+
+def examples(plain: list[str]) -> list[tuple[str, str, int]]:
+    """``(paragraph, class, group)``: the notices, alone and amid words of the corpus, and as ``none``
+    the other uses, the paragraphs ``plain``, and loose words of notices amid words of the corpus."""
+    notices = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in UNLISTED] + [(t, NONE) for t in OTHER]
+    fill = [" ".join(p.split()[:6]) for p in plain][:40] or ["the work of the year", "see the other page"]
+    rows = [(t, f, i) for i, (t, f) in enumerate(notices)]
+    rows += [(f"{fill[(i + 11 * k) % len(fill)]} {t} {fill[(7 * i + k + 3) % len(fill)]}", f, i) for i, (t, f) in enumerate(notices) for k in (0, 1)]
+    words = sorted({w for t, _ in notices for w in notice_grams(t, 1)})
+    loose = [[words[i], *(words[(k * i + 3) % len(words)] for k in range(5, 5 + i % 3))] for i in range(len(words))]
+    rows += [(f" {fill[i % len(fill)]} ".join(w), NONE, len(rows) + i) for i, w in enumerate(loose)]
+    return rows + [(p, NONE, len(rows) + i) for i, p in enumerate(["", *plain])]
+
+
+def fit_model(rows: list[tuple[str, str, int]], found: list[list[str]], plain: int) -> Model:
+    """The model of ``examples`` with the n-grams ``found`` in them, the last ``plain`` of the corpus."""
+    classes = [*TEMPLATES, UNKNOWN, NONE]
+    # n-grams of the notices, but for those of common words alone; the corpus' own words are not features
+    rarity = Counter(g for own in found[len(found) - plain :] for g in own)
+    notices = [*(t for ts in TEMPLATES.values() for t in ts), *UNLISTED, *OTHER]
+    vocabulary = sorted({g for t in notices for g in notice_grams(t, 3) if any(rarity[w] <= COMMON * plain for w in g.split())})
+    place = {g: i for i, g in enumerate(vocabulary)}
+    x = np.zeros((len(rows), len(vocabulary) + 1), np.float32)
+    for i, own in enumerate(found):
+        known = [place[g] for g in own if g in place]
+        x[i, known] = 1 / np.sqrt(max(LEAST_NORM, len(known)))
+        x[i, -1] = 1
+    y, group = np.array([classes.index(f) for _, f, _ in rows]), np.array([g for _, _, g in rows])
+    out = np.zeros((len(y), len(classes)))
+    for k in range(4):
+        fold = group % 4 == k
+        out[fold] = x[fold] @ fit(x[~fold], y[~fold], len(classes))
+    loss = {t: -np.log(softmax(out / t)[np.arange(len(y)), y] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8)}
+    weights = np.round(fit(x, y, len(classes)), 6)
+    used = np.flatnonzero(weights[:-1].any(1))
+    kept = [vocabulary[i] for i in used]
+    weights = np.concatenate([weights[used], weights[-1:]])
+    return Model(classes, kept, weights, min(loss, key=loss.get), potentials(kept, weights, rarity))
+
+
+def train(spark: SparkSession, docs: DataFrame | None = None, text: str = "text") -> Model:
+    """Fits on ``examples`` with up to ``MAX_NEGATIVES`` corpus paragraphs without a term.  A notice's
+    variants are left out together for the temperature."""
     plain: list[str] = []
     if docs is not None:
         few = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).orderBy(F.xxhash64("text")).limit(MAX_NEGATIVES // 4)
-        lines = few.select(F.explode(F.slice(F.split("text", "\n"), 1, 4)).alias("line"))
-        plain = [r[0][:400] for r in lines.where(F.length("line") > 0).limit(MAX_NEGATIVES).collect()]
-    examples = [(t, f) for f, ts in TEMPLATES.items() for t in ts] + [(t, UNKNOWN) for t in OTHER]
-    fill = [" ".join(p.split()[:6]) for p in plain][:40] or ["the work of the year", "see the other page"]
-    around = [(f"{fill[i % len(fill)]} {t} {fill[(7 * i + 3) % len(fill)]}", f) for i, (t, f) in enumerate(examples)]
-    everything = examples + around + [(p, UNKNOWN) for p in plain]
-    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(everything)], "i int, t string").coalesce(1)
-    rows = [r[1] for r in sorted(frame.select("i", let(tokens(F.col("t")), hashed)).collect())]
-    x, y = matrix(rows), np.array([families.index(f) for _, f in everything])
-    # left-out folds give the scores that the temperature is fitted on
-    fold, out = np.arange(len(y)) % 4, np.zeros((len(y), len(families)))
-    for k in range(4):
-        out[fold == k] = x[fold == k] @ fit(x[fold != k], y[fold != k], len(families))
-    loss = {t: -np.log(softmax(out / t)[np.arange(len(y)), y] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)}
-    return families, fit(x, y, len(families)), min(loss, key=loss.get)
+        rows = few.select(F.explode(F.split("text", PARAGRAPH)).alias("p")).where((F.trim("p") != "") & ~contains_any(F.lower("p"), TERMS))
+        plain = [r[0] for r in rows.distinct().orderBy(F.xxhash64("p"), "p").limit(MAX_NEGATIVES).collect()]
+    every = examples(plain)
+    frame = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(every)], "i int, t string").coalesce(1)
+    found = [r[1] for r in sorted(frame.select("i", let(tokens(F.col("t")), lambda w: grams(w))).collect())]
+    return fit_model(every, found, len(plain))
 
 
-def constant(values: np.ndarray) -> Column:
+def constant(values, kind: str = "string", between: str = "\n") -> Column:
     """A literal array, parsed once when the plan is made."""
-    return F.split(F.lit(",".join(f"{v:.6g}" for v in values)), ",").cast("array<double>")
+    return F.split(F.lit(between.join(map(str, values))), between).cast(f"array<{kind}>")
 
 
-def scored(paragraphs: DataFrame, model: tuple[list[str], np.ndarray, float]) -> DataFrame:
-    """Adds ``family, probability, similarity, confirmed`` to ``paragraphs(paragraph)``."""
-    families, weights, temperature = model
-    tables = [constant(weights[:-1, k]) for k in range(len(families))]
+def contains_any(column: Column, words) -> Column:
+    found = F.lit(False)
+    for word in reversed(words):
+        found = F.contains(column, F.lit(word)) | found
+    return found
 
-    def scores(f: Column) -> Column:
-        norm = F.sqrt(F.greatest(F.size(f), F.lit(1)).cast("double"))
-        totals = [weighted_sum(f, t) for t in tables]
-        return F.array(*[(total / norm + F.lit(float(weights[-1, k]))) / F.lit(temperature) for k, total in enumerate(totals)])
+
+def scored(paragraphs: DataFrame, model: Model) -> DataFrame:
+    """Adds ``best, probability, similarity`` to ``paragraphs(paragraph)``: the most probable class,
+    its probability, and the largest share of a template of it that the paragraph covers."""
+    n = len(model.classes)
+    vocabulary, weights = constant(model.vocabulary), constant([f"{v:.6f}" for v in model.weights[:-1].ravel()], "double")
+    base = F.array(*[F.lit(float(v)) for v in model.weights[-1]])
+    names = constant(model.classes)
+
+    def scores(places: Column, table: Column) -> Column:
+        norm = F.sqrt(F.greatest(F.size(places), F.lit(LEAST_NORM)).cast("double"))
+        return F.transform(base, lambda b, k: (F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(table, i * n + k)) / norm + b) / F.lit(model.temperature))
 
     def best(s: Column) -> Column:
         top = F.array_max(s)
         share = let(top, lambda m: F.aggregate(s, F.lit(0.0), lambda t, v: t + F.exp(v - m)))
-        name = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(s, top).cast("int"))
-        return F.struct(name.alias("best"), (F.lit(1.0) / share).alias("probability"))
+        return F.struct(F.element_at(names, F.array_position(s, top).cast("int")).alias("best"), (F.lit(1.0) / share).alias("probability"))
 
-    def covered(pairs: Column, name: Column) -> Column:
+    def covered(own: Column, name: Column) -> Column:
         out = F.lit(0.0)
         for family, notices in TEMPLATES.items():
-            grams = [F.concat(ngrams(w, 1), ngrams(w, 2)) for w in (tokens(F.lit(t)) for t in notices)]
-            out = F.when(name == family, F.greatest(*[F.size(F.array_intersect(pairs, g)) / F.size(g) for g in grams])).otherwise(out)
+            shares = [F.size(F.array_intersect(constant(g), own)) / F.lit(float(len(g))) for g in map(notice_grams, notices)]
+            out = F.when(name == family, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(out)
         return out
 
-    def verdict(words: Column) -> Column:
-        found = let(hashed(words), lambda f: let(scores(f), best))
-        return let(found, lambda v: let(F.concat(ngrams(words, 1), ngrams(words, 2)), lambda g: F.struct(v["best"].alias("best"), v["probability"].alias("probability"), covered(g, v["best"]).alias("similarity"))))
+    def verdict(own: Column) -> Column:
+        places = let(vocabulary, lambda v: F.transform(F.array_intersect(own, v), lambda g: (F.array_position(v, g) - 1).cast("int")))
+        found = let(places, lambda p: let(weights, lambda t: let(scores(p, t), best)))
+        return let(found, lambda v: F.struct(v["best"].alias("best"), v["probability"].alias("probability"), covered(own, v["best"]).alias("similarity")))
 
     # bound step by step, so that the expression doesn't grow where a later filter is pushed into it
-    df = paragraphs.withColumn("_v", let(tokens(F.col("paragraph")), verdict))
-    known = (F.col("_v.best") != UNKNOWN) & (F.col("_v.probability") >= PROBABLE)
-    family = F.when(known, F.col("_v.best")).otherwise(UNKNOWN)
-    confirmed = known & (F.col("_v.similarity") >= CONFIRMED)
-    return df.select(*paragraphs.columns, family.alias("family"), F.col("_v.probability").alias("probability"), F.col("_v.similarity").alias("similarity"), confirmed.alias("confirmed"))
-
-
-def weighted_sum(features: Column, table: Column) -> Column:
-    return F.aggregate(features, F.lit(0.0), lambda s, i: s + F.get(table, i))
+    df = paragraphs.withColumn("_v", let(let(tokens(F.col("paragraph")), lambda w: grams(w)), verdict))
+    return df.select(*paragraphs.columns, "_v.*")
 
 
-def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", model=None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None, filtered: bool = True) -> DataFrame:
     """Licence paragraphs of ``docs``: ``key, position, family, probability, similarity, confirmed``.
 
-    One row for each line with a licence term (``family`` is ``unknown`` where none is probable)
-    or of a probable family that covers ``SUPPORTED`` of a template, and for each window of lines, without blank ones,
-    that is confirmed and holds no confirmed line or window of its family; ``position``
-    counts lines from 0 and is a window's first.  ``confirmed`` says that a template covers
-    the paragraph too.  Null and empty texts have no rows; null and repeated keys are kept;
-    other columns are not read.  Only paragraphs with a row are moved, by document.
+    One row for each paragraph that is not of class ``none``; ``position`` counts a text's
+    paragraphs from 0.  ``family`` is ``unknown`` where no family has a probability of
+    ``PROBABLE``; of classes that score alike the first counts.  Null, empty and blank
+    texts have no rows, an empty table none; null and repeated keys are kept, each row for
+    itself; paragraphs of any length are scored whole; other columns are not read.
+    Nothing is shuffled.  ``filtered=False`` scores all paragraphs by their n-grams, to the
+    same result.
     """
     model = model or train(docs.sparkSession, docs, text)
 
-    def holds(column: Column, terms) -> Column:
-        found = F.lit(False)
-        for term in reversed(terms):
-            found = F.contains(column, F.lit(term)) | found
-        return found
-
-    rows = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.split(text, "\n").alias("lines"))
-    near = F.slice(F.col("lines"), F.col("position") + 1, F.lit(WIDEST))
-    lines = rows.select("key", "row", "lines", F.posexplode("lines").alias("position", "paragraph")).where(F.trim("paragraph") != "")
-    single = scored(lines.select("key", "row", "position", F.col("position").alias("last"), "paragraph"), model).where((F.col("family") != UNKNOWN) & (F.col("similarity") >= SUPPORTED) | holds(F.lower("paragraph"), TERMS))
-    # windows of two and more lines, up to a blank one
-    wide = rows.where(F.size("lines") > 1).where(holds(F.lower(F.array_join("lines", " ")), ANCHORS))
-    wide = wide.select("key", "row", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 2)).alias("position")).select("key", "row", "position", near.alias("near"))
-    wide = wide.where(holds(F.lower(F.array_join("near", " ")), ANCHORS)).select("key", "row", "position", "near", F.explode(F.sequence(F.lit(2), F.size("near"))).alias("width"))
-    wide = wide.withColumn("near", F.slice("near", F.lit(1), F.col("width"))).where(~F.exists("near", lambda x: F.trim(x) == ""))
-    wide = wide.select("key", "row", "position", (F.col("position") + F.col("width") - 1).alias("last"), F.array_join("near", " ").alias("paragraph")).where(holds(F.lower("paragraph"), ANCHORS))
-    both = single.unionByName(scored(wide, model).where("confirmed"))
-    inner = Window.partitionBy("row", "family").orderBy(F.desc("position"), "last").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.min(F.when(F.col("confirmed"), F.col("last"))).over(inner) <= F.col("last"), F.lit(False))
-    kept = both.withColumn("held", held).where((F.col("position") == F.col("last")) | ~F.col("held"))
-    return kept.select(F.col("key").alias(key), "position", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), "confirmed")
+    def may(column: str) -> Column:
+        if not filtered or not model.potentials:
+            return F.length(column) > 0
+        names, values = constant(model.potentials), constant(model.potentials.values(), "double")
+        known = F.array_intersect(tokens(F.col(column)), names)
+        return F.aggregate(known, F.lit(0.0), lambda s, w: s + F.get(values, (F.array_position(names, w) - 1).cast("int"))) >= 1
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(may("text"))
+    paragraphs = rows.select("key", F.posexplode(F.split("text", PARAGRAPH)).alias("position", "paragraph")).where(may("paragraph"))
+    found = scored(paragraphs, model).where(F.col("best") != NONE)
+    known = (F.col("best") != UNKNOWN) & (F.col("probability") >= PROBABLE)
+    return found.select(
+        F.col("key").alias(key),
+        "position",
+        F.when(known, F.col("best")).otherwise(UNKNOWN).alias("family"),
+        F.round("probability", 6).alias("probability"),
+        F.round("similarity", 6).alias("similarity"),
+        (known & (F.col("similarity") >= CONFIRMED)).alias("confirmed"),
+    )
