@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import uuid
 
@@ -12,17 +13,20 @@ from pyspark.sql import functions as F
 
 
 _own: str | None = None
+_paths: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    absent (tests, local mode) a folder under /tmp is used, and removed at the end.
+    ``spark.checkpoint.dir`` names it on a cluster, where it must be set.  Only in
+    local mode (tests) a folder under /tmp serves, and is removed at the end.
     """
     global _own
     if base := spark.conf.get("spark.checkpoint.dir", None):
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     if _own is None:
         _own = f"/tmp/checkpoints/lakeweave-{os.getpid()}"
         atexit.register(shutil.rmtree, _own, ignore_errors=True)
@@ -30,8 +34,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder; see ``release``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def mark() -> int:
+    """A place in the list of scratch paths, for ``release``."""
+    return len(_paths)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch paths made after ``mark()`` gave ``since``: for when the frames that
+    read them are written elsewhere."""
+    for path in _paths[since:]:
+        remove(spark, path)
+    del _paths[since:]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -50,43 +69,55 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key with more than one in so many rows is hot.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined on ``key`` with ``table(key, ..., n)``, which has each key of ``rows`` once
+    and the number ``n`` of its rows, ``total`` in all.
+
+    Hot keys, fewer than ``HOT`` by their definition, are broadcast, and their rows stay where
+    they are; no other key has more than one in ``HOT`` of the rows that are shuffled.
+    """
+    hot = F.broadcast(table.where(F.col("n") * HOT > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("n") * HOT <= total), key)
+    return rows.join(hot, key).unionByName(cold).drop("n")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` (longs) as ``(node, component)``,
     component being the least node reachable; nodes without an edge are absent.
 
-    Alternates large-star and small-star.  Minima are partial aggregates, so a
-    hub with many neighbours is combined before the shuffle; each round is
-    written to the shared folder, and the driver sees two numbers a round.
-    Self loops, repeated and null edges are ignored.
+    Alternates large-star and small-star.  Minima are partial aggregates, and hubs
+    meet theirs by broadcast (see ``hot_join``), so no task gathers a hub's neighbours;
+    each step is written to the shared folder, and the driver sees three numbers a round.
+    Self loops, repeated and null edges are ignored; without edges nothing comes out.
     """
     spark = edges.sparkSession
-    cur = (
-        edges.where("u <> v")
-        .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        .distinct()
-    )
-    path = scratch(spark, "edges")
-    cur.write.parquet(path)
-    cur = spark.read.schema("u long, v long").parquet(path)
+
+    def written(df: DataFrame) -> tuple[str, DataFrame]:
+        path = scratch(spark, "edges")
+        df.select("u", "v").write.parquet(path)
+        return path, spark.read.schema("u long, v long").parquet(path)
+
+    path, cur = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        nxt = scratch(spark, "edges")
-        small.distinct().write.parquet(nxt)
-        remove(spark, path)
-        path = nxt
-        cur = spark.read.schema("u long, v long").parquet(path)
         now = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
+        both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = hot_join(both, low, "u", 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        between, large = written(large.where("u <> v").distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = hot_join(large, low, "u", large.count()).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
+        last, (path, cur) = path, written(small.distinct())
+        remove(spark, last)
+        remove(spark, between)
     else:
         raise RuntimeError("components did not settle")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
@@ -94,12 +125,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what one Arrow batch of long texts holds, in the JVM and in Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-
-
 def annotated(docs: DataFrame, text: str, make, kind: str, rows_at_once: int = 250) -> DataFrame:
     """``(row, value)``: each row of ``docs`` as a struct, and what ``make()``'s function gives for its text.
 
@@ -120,7 +145,6 @@ def annotated(docs: DataFrame, text: str, make, kind: str, rows_at_once: int = 2
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-    small_batches(docs.sparkSession)
     place = docs.columns.index(text)
     value = _parse_datatype_string(kind)
     arrow_kind = to_arrow_type(value)

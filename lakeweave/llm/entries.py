@@ -79,10 +79,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lakeweave.llm.common import small_batches
     from lakeweave.llm.token_counts import token_counts
 
-    small_batches(spark)
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 

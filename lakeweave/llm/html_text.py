@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lakeweave.llm.common import small_batches
 
 #: Elements whose content is never main text.
 BOILERPLATE = frozenset("nav footer aside form script style noscript template svg math iframe object select button textarea menu dialog head title canvas audio video map datalist".split())
@@ -174,7 +173,6 @@ def page_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 texts = [main_text(x) for x in some.column(2).to_pylist()]
                 yield pa.record_batch([some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["key", "url", "text", "n_chars"])
 
-    small_batches(pages.sparkSession)
     source = pages.selectExpr(f"`{key}` as key", f"cast(`{url}` as string) as url", f"`{html}` as html")
     kind = source.schema["key"].dataType.simpleString()
     return source.mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)

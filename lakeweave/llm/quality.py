@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import small_batches
 
 #: Labelled rows that are fitted at most, chosen by a hash of their id.
 MAX_LABELLED = 20_000
@@ -222,13 +221,16 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [features(x) for x in batch.column(2).to_pylist()]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(got, pa.list_(pa.float64()))], names=["fold", "label", "x"])
+            for at in range(0, batch.num_rows, 250):
+                some = batch.slice(at, 250)
+                got = [features(x) for x in some.column(3).to_pylist()]
+                yield pa.record_batch([*some.columns[:3], pa.array(got, pa.list_(pa.float64()))], names=["hash", "fold", "label", "x"])
 
     chosen = F.broadcast(labelled_sample(labels, key, label, most))  # at most ``most`` rows of an id and two numbers
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key").select("fold", "label", "text")
-    got = rows.mapInArrow(run, "fold long, label double, x array<double>").limit(2 * most).collect()
-    got.sort()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
+    rows = rows.select(F.xxhash64("key", "text").alias("hash"), "fold", "label", "text").mapInArrow(run, "hash long, fold long, label double, x array<double>")
+    got = rows.orderBy("hash", "x").limit(most).collect()  # more only where rows repeat an id
+    got.sort(key=lambda r: (r["fold"], r["label"], r["x"]))
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     y, folds = np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got], int)
     return fit(x, y, folds == 1)
@@ -244,7 +246,6 @@ def score_quality(docs: DataFrame, model: Additive, text: str = "text", key: str
                 x = np.array([features(t) for t in some.column(1).to_pylist()]).reshape(some.num_rows, len(FEATURES))
                 yield pa.record_batch([some.column(0), pa.array(model.score(x))], names=["key", "score"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 

@@ -10,8 +10,8 @@ minimum go, and the rest is verified bit by bit.
 Equal fingerprints are one node from the start, so copies never make pairs.
 A list longer than ``LIST_LIMIT`` (many different fingerprints in one small
 region) is handled without pairs: fingerprints within d bits have a common
-neighbour at d/2 bits or fewer from each, and conversely, so linking all
-fingerprints of a neighbour to its least one gives the same components.
+neighbour halfway, and conversely, so linking all fingerprints of a neighbour to
+one of them gives the same components.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import components, materialise, small_batches
+from lakeweave.llm.common import components, hot_join, materialise
 
 #: Longest posting list that is compared pair by pair.
 LIST_LIMIT = 4096
@@ -79,7 +79,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 bits = np.array([fingerprint(x) for x in some.column(1).to_pylist()], np.uint64)
                 yield pa.record_batch([some.column(0), pa.array(bits.view(np.int64))], names=["key", "fp"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
@@ -165,23 +164,24 @@ def near_links(nodes: DataFrame, bits: int = 4, limit: int = LIST_LIMIT) -> Data
     if lists.where(F.col("n") > limit).isEmpty():
         return found
 
-    flips = [0]
-    for k in range(1, bits // 2 + 1):
-        flips += [sum(1 << b for b in chosen) for chosen in combinations(range(64), k)]
+    # a pair within ``bits`` has a place within ``low`` of one and ``high`` of the other; conversely all
+    # fingerprints within ``high`` of a place are within ``bits`` of each that is within ``low`` of it
+    low, high = bits // 2, bits - bits // 2
+    flips = [sum(1 << b for b in chosen) for k in range(high + 1) for chosen in combinations(range(64), k)]
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = np.array(flips, np.uint64)
+        close = np.bitwise_count(offsets) <= low
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(fp), 64):
                 part = fp[at : at + 64]
-                yield pa.record_batch([pa.array((part[:, None] ^ offsets).ravel().view(np.int64)), pa.array(np.repeat(part, len(offsets)).view(np.int64))], names=["place", "fp"])
+                columns = [pa.array((part[:, None] ^ offsets).ravel().view(np.int64)), pa.array(np.repeat(part, len(offsets)).view(np.int64)), pa.array(np.tile(close, len(part)))]
+                yield pa.record_batch(columns, names=["place", "fp", "close"])
 
-    if bits % 2:
-        raise ValueError("lists this long need an even number of bits")
     hot = postings.join(lists.where(F.col("n") > limit), ["slot", "bytes"], "left_semi").select("fp").distinct()
-    places = hot.mapInArrow(neighbours, "place long, fp long")
-    least = places.groupBy("place").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    places = hot.mapInArrow(neighbours, "place long, fp long, close boolean")
+    least = places.groupBy("place").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1 and v is not null").drop("n")
     dense = places.join(least, "place").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return found.unionByName(dense)
 
@@ -195,9 +195,11 @@ def simhash_components(docs: DataFrame, bits: int = 4, text: str = "text", key:
     component's id (null where it has no other key).
     """
     prints = materialise(fingerprints(docs, text, key), "fingerprints")
-    nodes = materialise(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
+    nodes = materialise(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     labels = components(near_links(nodes.select("fp"), bits, limit))
     named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(named, "named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    rows, different = named.agg(F.sum("n"), F.count(F.lit(1))).first()
+    ids = hot_join(named.select("component", "fp", F.col("n").alias("rows")), ids, "component", different).select("fp", "component_id", F.col("rows").alias("n"))
+    return hot_join(prints, materialise(ids, "ids"), "fp", rows or 0).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

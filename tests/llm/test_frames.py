@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import os
+import random
 import re
 import zlib
 
@@ -95,9 +97,9 @@ def test_simhash_links_of_planted_fingerprints(spark):
     base = [0x0123456789ABCDEF, 0xFFFFFFFFFFFFFFFF, 0, 0x8000000000000000]
     fps = sorted({b ^ m for b in base for m in (0, 1, 3, 0xF, 0xFF, 0x8000000000000001, 0x0101010100000000, 0x0101010101000000, 0x1 << 20 | 1 << 40)})
     nodes = spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")
-    want = brute(dict(enumerate(fps)))
-    for limit in (4096, 1):
-        found = {r.node: r.component for r in common.components(simhash.near_links(nodes, limit=limit)).collect()}
+    for limit, bits in ((4096, 4), (1, 4), (1, 3), (4096, 3), (1, 1), (1, 0)):
+        want = brute(dict(enumerate(fps)), bits)
+        found = {r.node: r.component for r in common.components(simhash.near_links(nodes, bits, limit)).collect()}
         for i, f in enumerate(fps):
             for j, g in enumerate(fps):
                 same = found.get(simhash.signed(f), ("alone", f)) == found.get(simhash.signed(g), ("alone", g))
@@ -402,12 +404,44 @@ def test_pipeline_against_plain_stages(spark, small):
 
 
 def test_pipeline_stages_on_odd_rows(spark, small):
-    odd = spark.createDataFrame([(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", None, 5), (2, "", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (odd, odd.limit(0)):
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id", "en", None, 5), (2, "", "en", "s", 0), (5, "some words of a text that stay here for good", "en", "s", 44), (5, "other words", "en", "s", 11)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = odd.selectExpr("*", "1 as value", "2 as row", "3 as component_id", "4 as n", "5 as key", "6 as _hash", "7 as copies")
+    for frame in (odd, odd.limit(0), clash):
         df = frame
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             df = common.materialise(stage(spark, df, small), f"odd{k}")
-            assert k == 4 or df.columns == corpus_pipeline.COLUMNS
+            assert k == 4 or df.columns == frame.columns
+    kept = [tuple(r) for r in corpus_pipeline.near_dedup(spark, odd, small).select("doc_id", "text").collect()]
+    assert len(kept) == 3 and (1, None) in kept and (None, "no id") in kept and len([k for k, _ in kept if k == 5]) == 1
+
+
+def test_scratch_paths_are_released(spark):
+    since = common.mark()
+    df = common.materialise(spark.range(5), "gone")
+    assert df.count() == 5 and len(common._paths) == since + 1
+    path = common._paths[-1]
+    common.release(spark, since)
+    assert len(common._paths) == since and not os.path.exists(path.removeprefix("file://"))
+
+
+def test_components_with_hubs(spark):
+    r = random.Random(4)
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(300)] + [(r.randint(9000, 9400), r.randint(9000, 9400)) for _ in range(200)] + [(7, 7), (3, 0), (None, 4)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    got = {row.node: row.component for row in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: root(x) for x in up}
+    assert common.components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
 
 
 def test_entries_are_complete():
