@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import decontam, entries, mixing, quality, simhash, token_output
-from lakeweave.llm.common import annotated, scratch
+from lakeweave.llm.common import annotated, mark, release, remove, scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score less are rejected.
 QUALITY = 0.3
 
@@ -28,28 +27,31 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     def make():
         return lambda texts: model.score(np.array([quality.features(t) for t in texts]).reshape(len(texts), len(quality.FEATURES)))
 
-    return annotated(docs.select(COLUMNS), "text", make, "double").where(F.col("value") >= QUALITY).select("row.*")
+    return annotated(docs, "text", make, "double").where(F.col("value") >= QUALITY).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each SimHash component; rows without an id stay."""
-    docs = docs.select(COLUMNS)
-    groups = simhash.simhash_components(docs).where("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(groups.where("count = 1"), "doc_id", "left_semi")
-    repeated = groups.where("count > 1")
-    if not repeated.isEmpty():  # rows that repeat an id: one of them stays
-        kept = kept.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null")).select(COLUMNS)
+    """Keeps the document with the least id of each SimHash component; rows without an id stay.
+
+    Rows that repeat an id are one document, which goes if one of them is in a component with
+    a smaller id; of those that stay the row with the least hash is kept.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    groups = simhash.simhash_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n")).where("least = doc_id")
+    kept = docs.join(groups.where("n = 1"), "doc_id", "left_semi").select(columns)
+    # partial aggregates, so that a hot id is no task's
+    repeated = docs.join(groups.where("n > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row"))
+    return kept.unionByName(repeated.select("row.*")).unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a benchmark item is leaked."""
-    return decontam.decontaminated(docs.select(COLUMNS), entries.table(spark, sf_dir, "benchmark"))
+    return decontam.decontaminated(docs, entries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of domains below their target weight, as the fitted rates say."""
-    return mixing.mixed_documents(docs.select(COLUMNS), entries.table(spark, sf_dir, "labels"), weights=entries.MIXTURE)
+    return mixing.mixed_documents(docs, entries.table(spark, sf_dir, "labels"), weights=entries.MIXTURE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,11 +73,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each result written as Parquet and read again."""
-    docs = entries.table(spark, sf_dir, "documents")
+    docs, read = entries.table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            path = scratch(spark, f"stage{k}")
-            docs.write.parquet(path)
+            path, since = scratch(spark, f"stage{k}"), mark()
+            stage(spark, docs, sf_dir).write.parquet(path)
+            release(spark, since)  # what the stage wrote for itself
             docs = spark.read.parquet(path)
+        else:
+            docs = stage(spark, docs, sf_dir)  # its blocks are written by now
+        if read:
+            remove(spark, read)
+        read = path
     return docs
