@@ -10,7 +10,8 @@ content as a whole, so that its short paragraphs and headings stay.
 Elements and classes are an aid.  Containers that are boilerplate by them never
 become regions.  Within article and main elements the threshold is ``WITHIN`` at
 most, the smoothed ratio alone decides of a region of one line, and regions
-outside count only where none inside is content.
+outside count only where none inside is content; of those, small ones before the
+first or after the last large one go, as adverts and footers do.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 SIGMA = 1.5
 #: Characters a tag from which lines within article or main are content: links of a list have four tags.
 WITHIN = 8.0
+#: Share of the largest region's characters from which a region outside article and main begins or ends the content.
+CORE = 0.3
 
 
 class Lines(HTMLParser):
@@ -134,6 +137,8 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     parser = Lines()
     parser.feed(html)
+    if parser.rawdata.startswith("<!--"):  # a comment without an end reaches to the page's
+        parser.rawdata = ""
     parser.close()
     parser.flush()
     lines = parser.lines
@@ -152,18 +157,27 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         dense = {r for r in regions if peak[r] >= least}
         return {r for r in dense if count[r] == 1 and r in parser.semantic or chars[r] >= least * max(1, tags[r])}, dense
 
+    def between(regions: set[int], single: set[int]) -> set[int]:
+        """Without what stands before the first or after the last region of size: an advert, a
+        footer; with the ``single`` regions of one line that stand between."""
+        least = CORE * max((chars[r] for r in regions), default=0)
+        at = [i for i, (region, _, _) in enumerate(lines) if region in regions and chars[region] >= least]
+        return {r for r, _, _ in lines[at[0] : at[-1] + 1] if r in regions or r in single and count[r] == 1} if at else regions
+
     inside = {r for r in count if r in parser.semantic}
     outside = {r for r in count if r >= 0} - inside
     (kept, some), (others, dense) = content(inside, min(threshold, WITHIN)), content(outside, threshold)
-    kept = kept or others or some or dense or inside or outside
+    kept = kept or between(others, dense) or some or between(dense, dense) or inside or outside
     return " ".join(text for region, text, _ in lines if region in kept)
 
 
 def page_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` for each row of ``pages``.
 
-    Null and empty html, and pages without main text, give the empty string; keys
-    and urls pass through, null or repeated; other columns are not read.
+    Null and empty html, and pages without main text, give the empty string; pages of
+    any length are parsed whole, one at a time; keys and urls pass through, null or
+    repeated; other columns are not read.  An empty table gives an empty one.  Lines of
+    equal ratio are treated alike, so ties decide nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

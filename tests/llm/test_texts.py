@@ -210,6 +210,42 @@ def test_ratios_choose_within_an_article():
     assert html_text.main_text(page) == f"{text} {text} {text}"
 
 
+def test_smoothing_keeps_short_paragraphs_between_long_ones(monkeypatch):
+    long, short = "A long paragraph of many words that stands in a box of its own, without any name, and goes on for a while.", "So it was."
+    page = "<body>" + "".join(f"<div><p>{x}</p></div>" for x in (long, long, short, long, long)) + "<div><a href=a>One</a> <a href=b>Two</a></div></body>"
+    want = " ".join([long, long, short, long, long])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "smooth", lambda x, sigma=0: x)
+    assert html_text.main_text(page) != want
+
+
+def neutral(page):
+    """A page whose elements and classes tell nothing."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer|header|aside|main|section)\b[^>]*>", r"<\1div>", page))
+
+
+def test_neutral_markup(small):
+    """Ratios, smoothing and clusters alone: precision and recall of words, by page."""
+    import html
+    from collections import Counter
+
+    found = []
+    for row in pq.read_table(small.replace("sf0.001", "sf0.01") + "/pages.parquet").to_pylist():
+        want = Counter(html.unescape(re.sub(r"<[^>]*>", " ", re.search(r"<article>(.*?)</article>", row["html"], re.S)[1])).split())
+        got = Counter(html_text.main_text(neutral(row["html"])).split())
+        both = sum((want & got).values())
+        found.append((both / max(1, sum(got.values())), both / max(1, sum(want.values()))))
+    assert min(np.mean(found, axis=0)) >= 0.98
+
+
+def test_very_long_and_odd_pages():
+    line = "words of a line that goes on and on, as lines of very long pages do, until it ends. " * 10
+    page = "<body><nav><a href=a>Menu</a></nav>" + f"<p>{line}" * 3000 + "<footer>end</footer></body>"
+    assert html_text.main_text(page) == " ".join([line.strip()] * 3000)
+    assert html_text.main_text("<div>" * 4000 + "deep" + "</div>" * 4000) == "deep"
+    assert html_text.main_text("\x00<p>&#0;&bad; <![CDATA[x]]> <p a=\"<b>\">tail of the page") and html_text.main_text("<!-- open") == ""
+
+
 def test_pages_of_the_tables(small):
     import html
 
