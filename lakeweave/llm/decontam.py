@@ -1,32 +1,41 @@
 """Benchmark decontamination by greedy string tiling.
 
 Documents and benchmark items are word sequences.  Karp-Rabin hashes of ``width``
-words give the shared seeds; seeds that go on along a diagonal are one match.
-Again and again the longest match whose words are free in both texts is marked
-as a tile, what is left of overlapped matches staying in the game while it has
-``width`` words.  An item is leaked where the tiles cover enough of its words,
-in whatever order its parts stand in the document.
+words give the seeds; documents' seeds that pass a bit filter of the benchmark's,
+of bounded size, are joined to the benchmark's seed table, so that neither side is
+gathered anywhere.  For each document and item that share seeds, those that go on
+along a diagonal are one match; again and again the longest match whose words are
+free in both texts is marked as a tile, what is left of overlapped matches staying in
+the game while it has ``width`` words.  An item is leaked where the tiles cover enough
+of its words, in whatever order its parts stand in the document.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import annotated
+from lakeweave.llm.common import materialise
 
 WIDTH = 5
 COVERAGE = 0.8
-#: Benchmark text that one pass sends to the tasks; more of it is searched in several passes.
-BLOCK_BYTES = 16 << 20
-BASE = np.uint64(0x9E3779B97F4A7C15)
-LEAKS = "array<struct<item_id:bigint,coverage:double,tiles:int>>"
-WORD = re.compile(r"\w+")
+#: Bits of the filter at least and at most (8 MB), as powers of two; 16 bits a seed where they suffice.
+#: With more seeds than that the filter lets more through, which the join sorts out.
+LEAST_BITS, MOST_BITS = 12, 26
+#: Distinct words whose codes a task remembers.
+MEMORY = 500_000
+BASE, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Scripts without spaces between words: each character is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
 
 
 def tiles(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]]:
@@ -66,126 +75,146 @@ def tiles(pairs: list[tuple[int, int]], width: int) -> list[tuple[int, int, int]
     return out
 
 
-class Items:
-    """Benchmark items with the seeds that documents are searched for."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
-        self.width = width
-        self.vocabulary: dict[str, int] = {}
-        self.ids, self.words = [], []
-        hashes, places = [], []
-        for item_id, text in items:
-            words = WORD.findall((text or "").lower())
-            if len(words) < width:
-                continue
-            codes = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
-            own = self.rolling(codes)
-            hashes.append(own)
-            places.append(np.stack([np.full(len(own), len(self.ids)), np.arange(len(own))], 1))
-            self.ids.append(item_id)
-            self.words.append(codes)
-        hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        places = np.concatenate(places) if places else np.empty((0, 2), np.int64)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.places = hashes[order], places[order]
-
-    def rolling(self, codes: np.ndarray) -> np.ndarray:
-        """Karp-Rabin hash of every window, modulo 2**64."""
-        n = max(0, len(codes) - self.width + 1)
-        return reduce(lambda h, j: h * BASE + codes[j : j + n], range(self.width), np.zeros(n, np.uint64))
-
-    def leaks(self, texts: list[str | None], coverage: float) -> list[list[dict]]:
-        """The leaked items of each text."""
-        out: list[list[dict]] = [[] for _ in texts]
-        if not len(self.hashes):
-            return out
-        get = self.vocabulary.get
-        words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        lengths = np.array([len(w) + 1 for w in words])
-        codes = np.zeros(int(lengths.sum()), np.uint64)
-        starts = np.cumsum(lengths) - lengths
-        for w, at in zip(words, starts.tolist(), strict=True):
-            codes[at : at + len(w)] = [get(x, 0) for x in w]
-        known = np.append(0, np.cumsum(codes > 0))
-        full = np.flatnonzero(known[self.width :] - known[: -self.width] == self.width) if len(codes) >= self.width else np.empty(0, int)
-        if not len(full):
-            return out
-        hashes = reduce(lambda h, j: h * BASE + codes[full + j], range(self.width), np.zeros(len(full), np.uint64))
-        low, high = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
-        hit = high > low
-        full, low, n = full[hit], low[hit], (high - low)[hit]
-        if not len(full):
-            return out
-        q = np.repeat(full, n)
-        place = self.places[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        doc = np.searchsorted(starts, q, "right") - 1
-        order = np.lexsort((place[:, 0], doc))
-        doc, item, p, q = doc[order], place[order, 0], place[order, 1], q[order]
-        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)], strict=True):
-            own = self.words[int(item[a])]
-            # what all seeds cover bounds what the tiles can
-            covered = np.zeros(len(own) + self.width, bool)
-            for j in range(self.width):
-                covered[p[a:b] + j] = True
-            if covered.sum() < coverage * len(own):
-                continue
-            same = np.ones(b - a, bool)  # equal hashes count once the words are equal
-            for j in range(self.width):
-                same &= own[p[a:b] + j] == codes[q[a:b] + j]
-            got = tiles(list(zip(p[a:b][same].tolist(), q[a:b][same].tolist(), strict=True)), self.width)
-            share = sum(n for _, _, n in got) / len(own)
-            if share >= coverage:
-                out[int(doc[a])].append({"item_id": self.ids[int(item[a])], "coverage": share, "tiles": len(got)})
-        return out
-
-
-def benchmark_blocks(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The benchmark in blocks of about ``block_bytes``, each small enough to go to every task."""
-    rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
-    place = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted((tuple(r) for r in rows.where(place == k).collect()), key=lambda r: (r[0] is not None, r)) for k in range(n)]
-
-
-def with_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = WIDTH, text: str = "text", item: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``(row, value)``: each row of ``docs`` as a struct, and its leaked items.
-
-    Documents aren't moved: every block of the benchmark is searched in all of
-    them.  Words are runs of letters and digits in lower case.  Null and empty
-    texts have no leaks; items of fewer than ``width`` words are never leaked, as
-    no seed stands for them; repeated items count each.
+class Codes(dict):
+    """Words' 64-bit codes."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return code
+
+
+def coded(texts: list[str | None], codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the texts' words, one text after another, and each text's first place, and the end."""
+    words = [WORD.findall(t.lower()) if t else [] for t in texts]
+    first = np.cumsum([0, *map(len, words)])
+    return np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.uint64, int(first[-1])), first
+
+
+def rolling(codes: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarray:
+    """Karp-Rabin hash of every window of ``width`` codes, modulo 2**64."""
+    n = max(0, len(codes) - width + 1)
+    return reduce(lambda h, j: h * base + codes[j : j + n], range(width), np.zeros(n, np.uint64))
+
+
+def benchmark_seeds(benchmark: DataFrame, item: str, text: str, width: int) -> DataFrame:
+    """``(item, item_id, words, width, hash, check, place)`` of each seed; ``item`` numbers the rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                own, _ = coded(row.column(2).to_pylist(), codes)
+                if not len(own):
+                    continue
+                w = min(width, len(own))
+                hashes, check = rolling(own, w), rolling(own, w, CHECK)
+                n = len(hashes)
+                columns = [pa.array(np.repeat(row.column(0).to_numpy(), n)), pa.array(row.column(1).to_pylist() * n, pa.int64()), pa.array(np.full(n, len(own), np.int32)), pa.array(np.full(n, w, np.int32))]
+                yield pa.record_batch([*columns, pa.array(hashes.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))], names=["item", "item_id", "words", "width", "hash", "check", "place"])
+
+    rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
+    return materialise(rows.mapInArrow(run, "item long, item_id long, words int, width int, hash long, check long, place int"), "seeds")
+
+
+def seed_filter(seeds: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int, list[int]]:
+    """The filter's bits as 64-bit numbers, their number as a power of two, and the seeds' widths."""
+    n = seeds.count()
+    bits = min(most_bits, max(LEAST_BITS, (16 * n).bit_length()))
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    parts = seeds.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(1 << max(0, bits - 6), np.uint64)
+    for k, b in parts.collect():  # 2**20 rows at most
+        out[k] = np.uint64(b & (1 << 64) - 1)
+    return out, bits, sorted(r[0] for r in seeds.select("width").distinct().collect())  # ``WIDTH`` numbers at most
+
+
+def document_hits(docs: DataFrame, seeds: DataFrame, text: str, key: str, most_bits: int = MOST_BITS) -> DataFrame:
+    """``(row, key, text_hash, width, hash, check, places)``: seeds of documents that pass the filter."""
+    members, bits, widths = seed_filter(seeds, most_bits)
+    kind = docs.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, shift = Codes(), np.uint64(64 - bits)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 250):
+                some = batch.slice(start, 250)
+                own, first = coded(some.column(3).to_pylist(), codes)
+                for width in widths:
+                    hashes = rolling(own, width)
+                    place = hashes >> shift
+                    at = np.flatnonzero((members.take(place >> np.uint64(6)) >> (place & np.uint64(63))) & np.uint64(1))
+                    doc = np.searchsorted(first, at, "right") - 1
+                    at, doc = (x[at + width <= first[doc + 1]] for x in (at, doc))  # no seed spans two documents
+                    if not len(at):
+                        continue
+                    found, check = hashes[at], reduce(lambda h, j: h * CHECK + own[at + j], range(width), np.zeros(len(at), np.uint64))
+                    order = np.lexsort((at, check, found, doc))
+                    at, doc, found, check = at[order], doc[order], found[order], check[order]
+                    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]) | (check[1:] != check[:-1])]))
+                    places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(at)).astype(np.int32)), pa.array((at - first[doc]).astype(np.int32)))
+                    rows = pa.array(doc[cut])
+                    yield pa.record_batch([*(some.column(i).take(rows) for i in range(3)), pa.array(np.full(len(cut), width, np.int32)), pa.array(found[cut].view(np.int64)), pa.array(check[cut].view(np.int64)), places], names=["row", "key", "text_hash", "width", "hash", "check", "places"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(run, f"row long, key {kind}, text_hash long, width int, hash long, check long, places array<int>")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = WIDTH, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
+    """``(row, key, text_hash, item_id, coverage, tiles)`` for each leaked item of each row of ``docs``.
+
+    Words are runs of letters and digits in lower case; characters of scripts that don't
+    space words are words.  An item of fewer than ``width`` words is leaked where a document
+    has the whole of it; items without a word never are.  Null and empty texts have no
+    leaks; texts of any length are searched whole; repeated items and rows count each; null keys are
+    kept; an empty benchmark or table gives no row.  Of matches of equal length the first
+    in the item, then in the document, is marked first.
     """
-    blocks = benchmark_blocks(benchmark, item, item_text, block_bytes)
-
-    def make(block):
-        def start():
-            items = Items(block, width)
-            return lambda texts: items.leaks(texts, coverage)
-
-        return start
-
-    found = annotated(docs, text, make(blocks[0]), LEAKS)
-    for block in blocks[1:]:
-        again = found.select(F.col(f"row.`{text}`").alias("text"), "row", "value")
-        again = annotated(again, "text", make(block), LEAKS)
-        found = again.select("row.row", F.concat("row.value", "value").alias("value"))
-    return found
+    seeds = benchmark_seeds(benchmark, item, item_text, width)
+    hits = materialise(document_hits(docs, seeds, text, key, most_bits), "hits")
+    both = hits.join(seeds, ["width", "hash", "check"])
+    # what the seeds cover of an item bounds what tiles can
+    pairs = both.groupBy("row", "item").agg(*[F.first(c).alias(c) for c in ("key", "text_hash", "item_id", "words", "width")], F.collect_list(F.struct("place", "places")).alias("seeds"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "key", "text_hash", "item_id", "words", "width", "seeds"]
+        for batch in batches:
+            keep, found = [], []
+            for i in range(batch.num_rows):
+                row = {n: batch.column(k)[i].as_py() for k, n in enumerate(names[3:], 3)}
+                covered = np.zeros(row["words"], bool)
+                for seed in row["seeds"]:
+                    covered[seed["place"] : seed["place"] + row["width"]] = True
+                if covered.sum() < coverage * row["words"]:
+                    continue
+                got = tiles([(s["place"], q) for s in row["seeds"] for q in s["places"]], row["width"])
+                share = sum(n for _, _, n in got) / row["words"]
+                if share >= coverage:
+                    keep.append(i)
+                    found.append((share, len(got)))
+            columns = [batch.column(k).take(pa.array(keep, pa.int64())) for k in range(4)]
+            yield pa.record_batch([*columns, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.int32())], names=["row", "key", "text_hash", "item_id", "coverage", "tiles"])
+
+    kind = hits.schema["key"].dataType.simpleString()
+    pairs = pairs.select("row", "key", "text_hash", "item_id", "words", "width", "seeds")
+    return pairs.mapInArrow(run, f"row long, key {kind}, text_hash long, item_id long, coverage double, tiles int")
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """One row for each document with leaked items: ``key, n_items, item_ids, coverage`` (the highest)."""
-    text = options.get("text", "text")
-    found = with_leaks(docs.select(key, text), benchmark, **options).where(F.size("value") > 0)
-    return found.select(
-        F.col(f"row.`{key}`").alias(key),
-        F.size("value").alias("n_items"),
-        F.array_sort(F.transform("value", lambda v: v["item_id"])).alias("item_ids"),
-        F.array_max(F.transform("value", lambda v: v["coverage"])).alias("coverage"),
-    )
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without leaked items."""
-    return with_leaks(docs, benchmark, **options).where(F.size("value") == 0).select("row.*")
+    """One row for each document with leaked items: ``key, n_items, item_ids, coverage`` (the highest);
+    see ``find_leaks``."""
+    found = find_leaks(docs, benchmark, key=key, **options)
+    rows = found.groupBy("row", "key").agg(F.count(F.lit(1)).cast("int").alias("n_items"), F.transform(F.sort_array(F.collect_list(F.struct("item_id"))), lambda v: v["item_id"]).alias("item_ids"), F.max("coverage").alias("coverage"))
+    return rows.select(F.col("key").alias(key), "n_items", "item_ids", "coverage")
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without leaked items, with all their columns; see ``find_leaks``."""
+    found = find_leaks(docs, benchmark, key=key, text=text, **options)
+    gone = materialise(found.select(F.col("key").alias("_key"), F.col("text_hash").alias("_hash")).distinct(), "leaked")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{key}`").alias("_own"), F.xxhash64(F.col(f"`{text}`")).alias("_text"))
+    return packed.join(gone, F.col("_own").eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_hash")), "left_anti").select("_row.*")

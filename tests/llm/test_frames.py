@@ -206,13 +206,81 @@ def test_sketches_merge(spark):
 
 
 def test_decontamination(spark, docs, none):
-    items = spark.createDataFrame([(1, "ONE two three, four five six seven"), (2, None), (3, "a b"), (1, "ONE two three, four five six seven")], "item_id long, text string")
-    assert ids(decontam.leaked_documents(docs, items), "doc_id", "n_items", "item_ids", "coverage") == [(1, 2, [1, 1], 1.0), (3, 2, [1, 1], 1.0)]
-    kept = decontam.decontaminated(docs, items)
-    assert kept.columns == docs.columns and kept.count() == len(ROWS) - 2
-    blocks = decontam.leaked_documents(docs, items, block_bytes=8)
-    assert ids(blocks, "doc_id", "n_items") == [(1, 2), (3, 2)]
+    items = spark.createDataFrame([(1, "ONE two three, four five six seven"), (2, None), (3, "a b"), (4, "six, seven"), (5, "?!"), (1, "ONE two three, four five six seven"), (None, "text without an id")], "item_id long, text string")
+    for bits in (26, 2):  # a filter that lets everything through
+        got = decontam.leaked_documents(docs, items, most_bits=bits)
+        assert ids(got, "doc_id", "n_items", "item_ids", "coverage") == [(1, 3, [1, 1, 4], 1.0), (3, 3, [1, 1, 4], 1.0), (None, 1, [None], 1.0)]
+    assert ids(decontam.leaked_documents(docs.where("doc_id is null"), items.where("item_id is null")), "doc_id", "n_items") == [(None, 1)]
+    clash = docs.withColumn("key", F.lit(1)).withColumn("_row", F.lit(2)).withColumn("coverage", F.lit(3))
+    kept = decontam.decontaminated(clash, items)
+    assert kept.columns == clash.columns and kept.count() == len(ROWS) - 3
+    twice = docs.where("doc_id = 1").unionByName(docs.where("doc_id = 1"))
+    assert ids(decontam.leaked_documents(twice, items), "doc_id", "n_items") == [(1, 3), (1, 3)]
     assert decontam.leaked_documents(none, items).count() == 0 and decontam.leaked_documents(docs, items.limit(0)).count() == 0
+    assert decontam.decontaminated(docs, items.limit(0)).count() == len(ROWS)
+
+
+def words_of(text):
+    return re.findall(r"\w+", (text or "").lower())
+
+
+def plain_leaks(docs, items, width=5, coverage=0.8):
+    """Textbook tiling of every document with every item, longest match first, by scanning for each place."""
+    out = {}
+    for doc_id, text in docs:
+        doc = words_of(text)
+        grams = {tuple(doc[i : i + width]) for i in range(len(doc) - width + 1)}
+        for item_id, item in items:
+            item = words_of(item)
+            least = min(width, len(item))
+            if not item or least == width and not any(tuple(item[i : i + width]) in grams for i in range(len(item) - width + 1)):
+                continue
+            used_item, used_doc, total = set(), set(), 0
+            where = {}
+            for q, w in enumerate(doc):
+                where.setdefault(w, []).append(q)
+            while True:
+                best = (0, 0, 0)
+                for p in range(len(item)):
+                    for q in where.get(item[p], ()):
+                        n = 0
+                        while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n] and p + n not in used_item and q + n not in used_doc:
+                            n += 1
+                        if n > best[0]:
+                            best = (n, p, q)
+                n, p, q = best
+                if n < least:
+                    break
+                used_item.update(range(p, p + n))
+                used_doc.update(range(q, q + n))
+                total += n
+            if total >= coverage * len(item):
+                out.setdefault(doc_id, []).append(item_id)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def test_decontamination_query_equals_brute_force(spark, small):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    got = {r.doc_id: r.item_ids for r in entries.QUERIES["op4_decontamination"](spark, small).collect()}
+    assert got and got == plain_leaks(docs, items)
+    r = random.Random(3)
+    cut = []  # reordered, edited and halved items amid other words
+    for i, (_, text) in enumerate(items[:40]):
+        w = words_of(text)
+        h = r.randint(3, max(3, len(w) - 3))
+        parts = [w[h:], w[:h]] if i % 3 == 0 else [w[: int(len(w) * 0.85)]] if i % 3 == 1 else [w[: len(w) // 2]]
+        cut.append((10_000 + i, " ".join(["x", *parts[0], "y z", *(parts[1] if len(parts) > 1 else [])])))
+    got = {r.doc_id: r.item_ids for r in decontam.leaked_documents(spark.createDataFrame(cut, "doc_id long, text string"), spark.read.parquet(f"{small}/benchmark.parquet")).collect()}
+    assert got and got == plain_leaks(cut, items)
+
+
+def test_decontamination_of_a_passage_that_many_items_share(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    items = spark.createDataFrame([(i, f"{passage} own{i} words{i} of{i} item{i} alone{i} more{i} and{i} so{i}") for i in range(300)], "item_id long, text string")
+    rows = [(d, f"before {passage} after{d} and a tail") for d in range(60)] + [(99, f"{passage} own7 words7 of7 item7 alone7 more7 and7 so7"), (100, "日本語の文章は空白で区切らない"), (101, f"{passage} 文章は空白で区切らない と")]
+    got = decontam.leaked_documents(spark.createDataFrame(rows, "doc_id long, text string"), items.union(spark.createDataFrame([(500, "文章は空白で区切らない")], "item_id long, text string")))
+    assert ids(got, "doc_id", "item_ids") == [(100, [500]), (101, [500]), (99, [7])]
 
 
 def test_quality_frame(spark, docs, none):
@@ -393,8 +461,8 @@ def test_pipeline_against_plain_stages(spark, small):
     kept = {k: d for k, d in docs.items() if scores[k] >= 0.3}
     groups = brute({k: simhash.fingerprint(d["text"]) for k, d in kept.items()})
     kept = {k: d for k, d in kept.items() if groups[k] == k}
-    search = decontam.Items([(b["item_id"], b["text"]) for b in bench])
-    kept = {k: d for k, d in kept.items() if not search.leaks([d["text"]], 0.8)[0]}
+    leaked = plain_leaks([(k, d["text"]) for k, d in kept.items()], [(b["item_id"], b["text"]) for b in bench])
+    kept = {k: d for k, d in kept.items() if k not in leaked}
     assert set(got) <= set(kept) and len(got) >= 0.9 * len(kept)  # mixing repeats documents, and drops few
     ordered, at = sorted((r for rows in got.values() for r in rows), key=lambda r: r.start), 0
     assert [r.doc_id for r in ordered] == sorted(r.doc_id for r in ordered)
