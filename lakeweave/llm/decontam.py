@@ -27,7 +27,8 @@ from lakeweave.llm.common import materialise
 
 WIDTH = 5
 COVERAGE = 0.8
-#: Bits of the filter at least and at most (8 MB), as powers of two; 16 bits a seed where they suffice.
+#: Bits of the filter at least and at most (8 MB), as powers of two; 32 bits a seed, of which its two
+#: hashes set two, where they suffice.
 #: With more seeds than that the filter lets more through, which the join sorts out.
 LEAST_BITS, MOST_BITS = 12, 26
 #: Distinct words whose codes a task remembers.
@@ -124,9 +125,9 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str, width: int) -> D
 def seed_filter(seeds: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int, list[int]]:
     """The filter's bits as 64-bit numbers, their number as a power of two, and the seeds' widths."""
     n = seeds.count()
-    bits = min(most_bits, max(LEAST_BITS, (16 * n).bit_length()))
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    parts = seeds.select(F.shiftright(place, 6).alias("k"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("b")).groupBy("k").agg(F.bit_or("b").alias("b"))
+    bits = min(most_bits, max(LEAST_BITS, (32 * n).bit_length()))
+    place = seeds.select(F.explode(F.array("hash", "check")).alias("h")).select(F.shiftrightunsigned("h", 64 - bits).alias("p"))
+    parts = place.groupBy(F.shiftright("p", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
     out = np.zeros(1 << max(0, bits - 6), np.uint64)
     for k, b in parts.collect():  # 2**20 rows at most
         out[k] = np.uint64(b & (1 << 64) - 1)
@@ -139,20 +140,26 @@ def document_hits(docs: DataFrame, seeds: DataFrame, text: str, key: str, most_b
     kind = docs.select(F.col(f"`{key}`").alias("key")).schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, shift = Codes(), np.uint64(64 - bits)
+        codes = Codes()
+
+        def member(hashes: np.ndarray) -> np.ndarray:
+            place = hashes >> np.uint64(64 - bits)
+            return (members.take(place >> np.uint64(6)) >> (place & np.uint64(63))) & np.uint64(1) > 0
+
         for batch in batches:
             for start in range(0, batch.num_rows, 250):
                 some = batch.slice(start, 250)
                 own, first = coded(some.column(3).to_pylist(), codes)
                 for width in widths:
                     hashes = rolling(own, width)
-                    place = hashes >> shift
-                    at = np.flatnonzero((members.take(place >> np.uint64(6)) >> (place & np.uint64(63))) & np.uint64(1))
+                    at = np.flatnonzero(member(hashes))
+                    check = reduce(lambda h, j: h * CHECK + own[at + j], range(width), np.zeros(len(at), np.uint64))
                     doc = np.searchsorted(first, at, "right") - 1
-                    at, doc = (x[at + width <= first[doc + 1]] for x in (at, doc))  # no seed spans two documents
+                    passed = member(check) & (at + width <= first[doc + 1])  # no seed spans two documents
+                    at, doc, check = at[passed], doc[passed], check[passed]
                     if not len(at):
                         continue
-                    found, check = hashes[at], reduce(lambda h, j: h * CHECK + own[at + j], range(width), np.zeros(len(at), np.uint64))
+                    found = hashes[at]
                     order = np.lexsort((at, check, found, doc))
                     at, doc, found, check = at[order], doc[order], found[order], check[order]
                     cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]) | (check[1:] != check[:-1])]))
