@@ -13,13 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import HOT, materialise
+
 #: Hashes in a sketch: the standard error of a resemblance near 0.5 is 0.044.
 K = 128
 WIDTH = 5
-#: Text in a range of neighbouring documents, and the number of ranges whose bounds a plan holds at most;
-#: past it (8 GB) ranges grow, and their windows spill.
+#: Text in a range of neighbouring documents, and cells that keys are counted by at most: past 137 GB
+#: ranges grow, to 1.5 GB of text at 100 TB.
 RANGE_BYTES = 2 << 20
-MAX_RANGES = 4096
+CELLS = 1 << 16
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -86,34 +88,73 @@ def merge_groups(df: DataFrame, by: list[str], column: str = "sketch", k: int =
     return ranked.groupBy(*by).agg(F.sort_array(F.collect_list("_h")).alias(column))
 
 
+def ranges(meta: DataFrame) -> dict[str, Column]:
+    """Columns over ``key``, ``h`` and what ``with_next`` derives of them that place rows in ranges of
+    about ``RANGE_BYTES``: a struct that grows with the order of the rows.
+
+    ``meta(key, h, bytes)`` is counted by cells of equal width between the least and the
+    largest key, ``CELLS`` at most; cells are cut into ranges of equal width by their bytes, so a
+    row is placed by one look into an array.  A key that is a range's size by itself, or null,
+    is cut by the hash of the text.
+    """
+    n, size, low, high, blank = meta.agg(F.count("key"), F.sum("bytes"), F.min("key"), F.max("key"), F.sum(F.when(F.col("key").isNull(), F.col("bytes")))).first()
+    target = max(RANGE_BYTES, (size or 0) // CELLS)
+    parts = F.lit(-(-(blank or 0) // target) or 1)
+    cell = sub = F.lit(0).cast("long")
+    if n and size > target and high > low:
+        cells = min(CELLS, max(4, 4 * size // target))
+        width = (high - low) // cells + 1
+        cell = F.expr(f"(key div {width}L) - if(key < 0 and key % {width}L <> 0, 1L, 0L)") - F.lit(low // width)
+        counted = {k: v for k, v in meta.where("key is not null").groupBy(cell.alias("cell")).agg(F.sum("bytes")).collect()}  # CELLS rows
+        slices = [-(-width // max(1, -(-counted.get(k, 0) // target))) for k in range(max(counted) + 1)]
+        sub = F.expr(f"pmod(key, {width}L)") / F.get(F.split(F.lit(",".join(map(str, slices))), ",").cast("array<bigint>"), cell.cast("int"))
+        sub = F.floor(sub).cast("long")
+        heavy = [k for k, v in counted.items() if v > max(2 * target, size // HOT)]  # fewer than HOT
+        crowded = meta.where(cell.isin(heavy)) if heavy else None
+    else:
+        crowded = meta.where("key is not null") if n and size > target else None
+    if crowded is not None:
+        hot = crowded.groupBy("key").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > max(2 * target, size // HOT)).collect()  # fewer than HOT
+        if hot:
+            own = F.get(F.array(*[F.lit(-(-r["bytes"] // target)) for r in hot]), (F.array_position(F.array(*[F.lit(r["key"]).cast("long") for r in hot]), F.col("key")) - 1).cast("int"))
+            parts = F.when(F.col("key").isNull(), parts).otherwise(F.coalesce(own, F.lit(1)))
+        else:
+            parts = F.when(F.col("key").isNull(), parts).otherwise(F.lit(1))
+    else:
+        parts = F.when(F.col("key").isNull(), parts).otherwise(F.lit(1))
+    part = F.shiftright(F.col("u") * parts.cast("long"), 31)
+    null = F.col("key").isNull()
+    return {"range": F.struct(F.when(null, -1).otherwise(cell).cast("long").alias("cell"), F.when(null, 0).otherwise(sub).cast("long").alias("sub"), part.alias("part"))}
+
+
 def with_next(docs: DataFrame, key: str, text: str, then: Callable[[DataFrame, Window], DataFrame]) -> DataFrame:
-    """``then`` over ``(key, text, next_text)`` and the window it may go on with.
+    """``then`` over ``(key, text, range, edge, next_text)`` and the window it may go on with.
 
-    The next document is the one with the next smaller key (of equal keys, by text
-    descending; null keys last); after the last comes the first.  Keys are cut into
-    ranges at their quantiles; each range also gets the first row of the range
-    below, so one shuffle by range suffices, whatever the number of rows.
+    The next document is the one with the next smaller key (of equal keys, by the hash of
+    the text descending; null keys last); after the last comes the first.  Rows are dealt
+    out once, by range; each range also gets the first row of the range below, handed over by a
+    table of a few numbers a range, ``2 * CELLS + HOT`` rows at most, that is broadcast.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    n, size, top = rows.agg(F.count("key"), F.sum(F.octet_length("text").cast("long")), F.max("key")).first()
-    ranges = max(1, min(int((size or 0) / RANGE_BYTES), n, MAX_RANGES))
-    bounds = []
-    if ranges > 1:
-        at = [i / ranges for i in range(1, ranges)]
-        got = rows.agg(F.percentile_approx("key", at, 100 * ranges)).first()[0]
-        bounds = sorted(set(got))
-    bounds = [b for b in bounds if b < top]  # each range holds its upper bound, so none is empty
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("key"))), F.lit(0)) if bounds else F.lit(0)
-    placed = rows.withColumn("range", F.when(F.col("key").isNull(), 0).otherwise(place))
-    last = len(bounds)
-    tops = placed.groupBy("range").agg(F.max("key").alias("top"))
-    firsts = placed.join(F.broadcast(tops), "range")  # MAX_RANGES rows
-    firsts = firsts.where(F.col("key").eqNullSafe(F.col("top")))
-    firsts = firsts.groupBy("range", "key").agg(F.max("text").alias("text"))
-    firsts = firsts.select("key", "text", F.when(F.col("range") == last, 0).otherwise(F.col("range") + 1).alias("range"), F.lit(True).alias("edge"))
-    window = Window.partitionBy("range").orderBy("edge", F.col("key").desc_nulls_last(), F.col("text").desc_nulls_last())
-    both = placed.select("key", "text", "range", F.lit(False).alias("edge")).unionByName(firsts)
-    return then(both.withColumn("next_text", F.lead("text").over(window)), window)
+    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).withColumn("h", h)
+    meta = materialise(rows.select("key", "h", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("bytes")), "keys")
+    place = ranges(meta)
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.withColumn("u", F.shiftright("h", 33) + F.lit(1 << 30))
+        order = F.coalesce(F.col("key").cast("decimal(20,0)") * F.lit(1 << 31), F.lit(str(-(10**30))).cast("decimal(32,0)")).cast("decimal(32,0)") + F.col("u")
+        return df.withColumns({**place, "order": order.cast("decimal(38,0)")})
+
+    everything = Window.orderBy("range")
+    tops = placed(meta).groupBy("range").agg(F.max("order").alias("top"))
+    tops = tops.select(F.col("range").alias("own"), "top", F.coalesce(F.lead("range").over(everything), F.min("range").over(everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("above"))
+    tops = F.broadcast(materialise(tops, "tops"))
+    rows = placed(rows)
+    rows = rows.join(tops, (F.col("range") == F.col("own")) & (F.col("order") == F.col("top")), "left")
+    here, over = F.struct("range", F.lit(False).alias("edge")), F.struct(F.col("above").alias("range"), F.lit(True).alias("edge"))
+    rows = rows.select("key", "text", "h", "order", F.explode(F.when(F.col("own").isNull(), F.array(here)).otherwise(F.array(here, over))).alias("at")).select("key", "text", "h", "order", "at.range", "at.edge")
+    window = Window.partitionBy("range").orderBy("edge", F.desc("order"), F.desc("h"))
+    return then(rows.withColumn("next_text", F.lead("text").over(window)), window)
 
 
 def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = K, width: int = WIDTH) -> DataFrame:
@@ -130,8 +171,8 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
         own, other = F.coalesce("text", F.lit("")), F.coalesce("next_text", F.lit(""))
         n = F.char_length(own)
         third = F.floor(n / 3).cast("int")
-        df = df.select("key", "range", "edge", "text", n.cast("long").alias("n_chars"), F.concat(F.left(own, n - third), F.left(other, third)).alias("edited"))
-        df = df.select("key", "range", "edge", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("own"), sketch(F.when(~F.col("edge"), F.col("edited")), k, width).alias("changed"))
+        df = df.select("key", "range", "edge", "order", "h", "text", n.cast("long").alias("n_chars"), F.concat(F.left(own, n - third), F.left(other, third)).alias("edited"))
+        df = df.select("key", "range", "edge", "order", "h", "text", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text"), k, width).alias("own"), sketch(F.when(~F.col("edge"), F.col("edited")), k, width).alias("changed"))
         df = df.withColumn("next", F.lead("own").over(window)).where("not edge")
         return df.select(
             F.col("key").alias(key),

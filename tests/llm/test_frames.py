@@ -193,6 +193,26 @@ def test_fingerprint_edges(spark, docs, none, monkeypatch):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("spread", [1, 10**12, 10**17])
+def test_next_documents_over_ranges(spark, monkeypatch, spread):
+    """Against one sort: keys near and far, negative, repeated, one key and null in many rows."""
+    monkeypatch.setattr(bottomk, "RANGE_BYTES", 300)
+    monkeypatch.setattr(bottomk, "CELLS", 16)
+    r = random.Random(spread)
+    keys = [r.randint(-90, 90) * spread for _ in range(150)] + [7 * spread] * 120 + [None] * 100 + [90 * spread, -90 * spread]
+    rows = [(k, f"text {i} " + "x" * r.randint(0, 12)) for i, k in enumerate(keys)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {x.text: x.h for x in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, hashes[x[1]]), reverse=True)
+    want = sorted((x[1], ordered[(i + 1) % len(ordered)][1]) for i, x in enumerate(ordered))
+    got = bottomk.with_next(frame, "doc_id", "text", lambda df, window: df.where("not edge")).select("text", "next_text", "range").collect()
+    assert sorted((x.text, x.next_text) for x in got) == want
+    sizes = {}
+    for x in got:
+        sizes[x.range] = sizes.get(x.range, 0) + len(x.text)
+    assert len(sizes) > 20 and max(sizes.values()) < 3000
+
+
 def test_sketches_merge(spark):
     words = [f"w{i}" for i in range(600)]
     frame = spark.createDataFrame([("a", " ".join(words[:400])), ("a", " ".join(words[300:])), ("b", " ".join(words)), ("b", None)], "g string, t string")
