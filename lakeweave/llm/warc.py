@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import materialise, scratch
+from lakeweave.llm.common import HOT, materialise, scratch
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -47,10 +47,15 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     rows = pages.select(F.col(key).cast("long").alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": base32_sha1(F.col("payload")), "n": F.octet_length("payload")})
     first = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    first = materialise(first.where("copies > 1 and first is not null").select("digest", "first"), "repeated")
+    first = materialise(first.where("copies > 1 and first is not null").select("digest", "first", "copies"), "repeated")
     # payloads stay where they are while the repeated digests are few; else both sides are dealt out by digest
-    few = first.count() <= MOST_BROADCAST
-    rows = rows.join(F.broadcast(first) if few else first, "digest", "left")
+    if first.count() <= MOST_BROADCAST:
+        rows = rows.join(F.broadcast(first.drop("copies")), "digest", "left")
+    else:
+        total = rows.count()
+        hot = F.broadcast(first.where(F.col("copies") * HOT > total).drop("copies"))  # fewer than HOT
+        cold = rows.join(hot, "digest", "left_anti").join(first.where(F.col("copies") * HOT <= total).drop("copies"), "digest", "left")
+        rows = rows.join(hot, "digest").unionByName(cold)
     revisit = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
 
     def line(name: str, value: Column) -> Column:
@@ -168,7 +173,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return records
     # records with the magic inside: their segments are read again and joined in file order
     torn = materialise(torn, "torn")
-    inner = placed.select("file", "split", "begin", "bytes").join(torn, "file").where("begin >= record and begin < next").select("file", "split", "begin", "record", "next", "head", "block")
+    inner = covered(placed.select("file", "split", "begin"), torn)
     again = located(raw.join(torn.select("file").distinct(), "file", "left_semi").withColumn("bytes", F.octet_length("data")))
     parts = again.select("file", "begin", "data").join(inner.drop("split"), ["file", "begin"])
     joined = parts.groupBy("file", "record", "next", "head", "block").agg(F.array_sort(F.collect_list(F.struct("begin", F.hex("data").alias("data")))).alias("parts"))
@@ -176,10 +181,42 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     body = joined.withColumn("whole_data", data)
     body = body.withColumns(payload_fields(F.substring(F.col("whole_data"), F.col("head") + 1, F.col("block").cast("int"))))
     body = body.select("file", F.col("record").alias("begin"), *[F.col(c).alias("own_" + c) for c in ("payload_bytes", "payload_digest", "http_bytes")])
-    out = records.join(body, ["file", "begin"], "left")
+    out = records.join(materialise(body, "torn"), ["file", "begin"], "left")
     return out.withColumns({c: F.coalesce("own_" + c, c) for c in ("payload_bytes", "payload_digest", "http_bytes")}).drop("own_payload_bytes", "own_payload_digest", "own_http_bytes")
 
 
+def covered(segments: DataFrame, torn: DataFrame) -> DataFrame:
+    """Each of ``segments(file, split, begin)`` that is a part of one of ``torn(file, record, next, ...)``,
+    with that record: the last one that starts at or before it, which records of a chain, one
+    after another, leave as the only choice.  It is carried on within a split, and
+    from the splits of a file before by one row a split."""
+    whole = F.struct("record", "next", "head", "block")
+    marked = segments.join(torn.withColumn("begin", F.col("record")).withColumn("own", whole).select("file", "begin", "own"), ["file", "begin"], "left")
+    last = marked.where("own is not null").groupBy("file", "split").agg(F.max("own").alias("last"))
+    splits = segments.select("file", "split").distinct().join(last, ["file", "split"], "left")
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = splits.select("file", "split", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    inside = Window.partitionBy("file", "split").orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)
+    found = marked.withColumn("inside", F.last("own", ignorenulls=True).over(inside)).join(carried, ["file", "split"])
+    found = found.withColumn("r", F.coalesce("inside", "carried")).where("begin < r.next")
+    return found.select("file", "split", "begin", "r.record", "r.next", "r.head", "r.block")
+
+
+def check_revisits(records: DataFrame) -> None:
+    """Raises unless each revisit's digest and length are those of the payload of a response
+    with the id that it refers to.  Counts by id, digest and length, so no task gathers a response's revisits."""
+    revisit = F.col("record_type") == "revisit"
+    rows = records.select(
+        F.when(revisit, F.col("refers")).otherwise(F.col("record_id")).alias("id"),
+        F.when(revisit, F.regexp_replace("declared", "^sha1:", "")).otherwise(F.col("payload_digest")).alias("digest"),
+        F.when(revisit, F.col("http_bytes")).otherwise(F.col("payload_bytes")).alias("n"),
+        revisit.cast("int").alias("revisit"),
+    )
+    lost = rows.groupBy("id", "digest", "n").agg(F.min("revisit").alias("lost"), F.sum("revisit").alias("n_revisits")).where("lost = 1")
+    if (first := lost.first()) is not None:
+        raise ValueError(f"revisits of {first['id']} agree with no response's payload")
+
+
 def payload_fields(block: Column) -> dict[str, Column]:
     """Payload of an HTTP response block: what follows its header."""
     head = F.substring_index(block.cast("string"), END, 1)
@@ -196,7 +233,7 @@ def page_records(records: DataFrame, key: str = "page_id") -> DataFrame:
     """Per record: ``key, payload_bytes, payload_digest, record_type, refers_to``.
 
     A revisit's payload is its response's: length and digest are those its own
-    headers declare, which ``read_warc`` can check against the response's bytes.
+    headers declare, which ``check_revisits`` holds against the response's bytes.
     """
 
     def page(column: str) -> Column:
@@ -213,8 +250,16 @@ def page_records(records: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def warc_round_trip(pages: DataFrame, path: str | None = None, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` as WARC files and returns what reading them back gives, one row per page."""
+    """Writes ``pages`` as WARC files and returns what reading them back gives, one row per page.
+
+    Null and empty html have an empty payload, the first of which is a response (at the
+    default ``min_bytes``); null and repeated keys are kept, as responses; payloads of any
+    length that one value can have are written whole, with the magic string in them or not; an
+    empty table gives no record; other columns are not read.
+    """
     spark = pages.sparkSession
     path = path or scratch(spark, "warc")
     write_warc(pages, path, key, url, html, min_bytes)
-    return page_records(read_warc(spark, path), key)
+    records = read_warc(spark, path)
+    check_revisits(records)
+    return page_records(records, key)

@@ -145,6 +145,38 @@ def test_warc_round_trip(spark):
     assert sorted((r.page_id, r.record_type) for r in again) == [(9, "response"), (9, "response"), (10, "response")]
 
 
+def test_warc_of_many_torn_pages_and_a_hot_payload(spark, monkeypatch):
+    """One file of torn records over many splits, payloads dealt out by digest, one of them in a third of the rows."""
+    monkeypatch.setattr(warc, "MOST_BROADCAST", 0)
+    rows = [(i, "u", "same" if i % 3 == 0 else f"<p>{i} " + "WARC/1.0\r\n" * (i % 5) + "y" * (i % 37) + str(i // 4)) for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000b")
+    try:
+        got = {r.page_id: r for r in warc.warc_round_trip(pages.coalesce(1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(got) == len(rows)
+    first = {}
+    for i, _, html in rows:
+        data, at = html.encode(), first.setdefault(html, i)
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if at == i else ("revisit", at))
+
+
+def test_revisits_are_checked(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    warc.write_warc(pages, path)
+    warc.check_revisits(warc.read_warc(spark, path))
+    for file in (tmp_path / "warc").glob("part-*"):
+        file.write_bytes(file.read_bytes().replace(b"abc\r\n", b"abd\r\n"))
+    for file in (tmp_path / "warc").glob(".*.crc"):
+        file.unlink()
+    with pytest.raises(ValueError, match="revisits of <urn:page:1>"):
+        warc.check_revisits(warc.read_warc(spark, path))
+
+
 def test_magic_in_payloads_is_no_record(spark):
     rows = [("f", 0, 0, 100), ("f", 0, 30, 60), ("f", 0, 60, 100), ("f", 0, 100, 150), ("f", 1, 150, None), ("g", 0, 5, 9)]
     frame = spark.createDataFrame(rows, "file string, split int, begin long, next long")
