@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,10 +59,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     with files that outlive any executor."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, Arrow batches hold 1000 rows and 16 MB at most, so that long texts take little memory
+    in the JVM and in Python; for frames that are executed there.  The session's settings come back."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+    before = {k: spark.conf.get(k) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path that nothing reads any more."""
     jvm = spark._jvm

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeweave.llm.common import small_batches
 
 #: Labelled rows that are fitted at most, chosen by a hash of their id.
 MAX_LABELLED = 20_000
@@ -229,7 +230,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = F.broadcast(labelled_sample(labels, key, label, most))  # at most ``most`` rows of an id and two numbers
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(chosen, "key")
     rows = rows.select(F.xxhash64("key", "text").alias("hash"), "fold", "label", "text").mapInArrow(run, "hash long, fold long, label double, x array<double>")
-    got = rows.orderBy("hash", "x").limit(most).collect()  # more only where rows repeat an id
+    with small_batches(docs.sparkSession):
+        got = rows.orderBy("hash", "x").limit(most).collect()  # more only where rows repeat an id
     got.sort(key=lambda r: (r["fold"], r["label"], r["x"]))
     x = np.array([r["x"] for r in got], float).reshape(len(got), len(FEATURES))
     y, folds = np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got], int)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import repair
-from lakeweave.llm.common import scratch
+from lakeweave.llm.common import scratch, small_batches
 
 #: Characters of a block's texts, but for a longer last document.
 BLOCK_CHARS = 4_000_000
@@ -177,7 +177,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
             yield flush()
 
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    ordered.mapInArrow(run, "part int, block int, start long, n_tokens long, keys array<bigint>, data binary").write.parquet(path)
+    blocks = ordered.mapInArrow(run, "part int, block int, start long, n_tokens long, keys array<bigint>, data binary")
+    with small_batches(docs.sparkSession):
+        blocks.write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
