@@ -8,7 +8,7 @@ so a lost task leaves nothing behind and any store that Spark writes will do.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import repair
-from lakeweave.llm.common import scratch, small_batches
+from lakeweave.llm.common import materialise, scratch, small_batches
 
 #: Characters of a block's texts, but for a longer last document.
 BLOCK_CHARS = 4_000_000
-#: Distinct chunks that a worker remembers with their ids; past it the memory is begun anew, which changes no id.
-MEMORY = 1_500_000
+#: Distinct chunks that a worker remembers with their ids; past it those go that were seen least, which changes no id.
+MEMORY = 800_000
 
 
 class Numbered(dict):
@@ -63,13 +63,23 @@ class Encoder:
         spaced = (self.ids(x) for x in ("a b", "a. b", "a \n b\t"))
         if [list(x) for x in spaced] != [[*self.ids("a"), *self.ids("b")], [*self.ids("a."), *self.ids("b")], [*self.ids("a"), *self.ids("b")]]:
             raise ValueError("the file's tokens hold white space")
-        self.forget()
+        self.chunks, self.pool, self.begin, self.seen = Numbered(), np.empty(0, self.kind), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def forget(self) -> None:
-        self.chunks, self.pool, self.begin = Numbered(), np.empty(0, self.kind), np.zeros(1, np.int64)
+        """Keeps the chunks that were seen more than once, half of ``memory`` at most."""
+        often = np.flatnonzero(self.seen > 1)
+        if len(often) > self.memory // 2:
+            often = np.sort(often[np.argsort(-self.seen[often], kind="stable")[: self.memory // 2]])
+        keep = np.zeros(len(self.seen), bool)
+        keep[often] = True
+        self.chunks = Numbered((k, i) for i, k in enumerate(compress(self.chunks, keep.tolist())))
+        n = np.diff(self.begin)
+        self.pool = self.pool[np.repeat(keep, n)]
+        self.begin = np.concatenate([[0], np.cumsum(n[keep])])
+        self.seen = self.seen[keep] // 2
 
     def split(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
         """The texts' chunks, and how many each text has."""
@@ -113,6 +123,7 @@ class Encoder:
         words, many = self.split(texts)
         which = np.fromiter(map(self.chunks.__getitem__, words), np.int32, len(words))
         self.learn()
+        self.seen = np.bincount(which, minlength=len(self.chunks)) + np.pad(self.seen, (0, len(self.chunks) - len(self.seen)))
         first = self.begin[which]
         n = self.begin[which + 1] - first
         stop = np.cumsum(n)
@@ -216,8 +227,13 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:
-    """Writes ``docs`` as token blocks and reads them back; see ``write_tokens`` and ``read_tokens``."""
+    """Writes ``docs`` as token blocks and reads them back; see ``write_tokens`` and ``read_tokens``.
+
+    Null and empty texts are the end id alone; null keys come first, rows with equal keys
+    are kept in the order of their texts; a text of any length is one document of one block;
+    an empty table gives no block and no row; other columns are not read.
+    """
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
     write_tokens(docs, tokenizer_path, path, end_id, text, key)
-    return read_tokens(spark, path, key)
+    return materialise(read_tokens(spark, path, key), "places")
