@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import decontam, entries, mixing, quality, simhash, token_output
-from lakeweave.llm.common import annotated, mark, release, remove, scratch
+from lakeweave.llm.common import annotated, mark, materialise, release, remove, scratch
 
 #: Documents that score less are rejected.
 QUALITY = 0.3
@@ -27,7 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     def make():
         return lambda texts: model.score(np.array([quality.features(t) for t in texts]).reshape(len(texts), len(quality.FEATURES)))
 
-    return annotated(docs, "text", make, "double").where(F.col("value") >= QUALITY).select("row.*")
+    scored = annotated(docs, "text", make, "double").where(F.col("value") >= QUALITY).select("row.*")
+    return materialise(scored, "scored")  # executed here, in small Arrow batches
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
