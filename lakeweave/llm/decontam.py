@@ -32,7 +32,7 @@ COVERAGE = 0.8
 #: With more seeds than that the filter lets more through, which the join sorts out.
 LEAST_BITS, MOST_BITS = 12, 26
 #: Distinct words whose codes a task remembers.
-MEMORY = 500_000
+MEMORY = 200_000
 BASE, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: Scripts without spaces between words: each character is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
