@@ -9,11 +9,12 @@ from lakeweave.plans.joinplan import sql_text, tree_edges
 from lakeweave.session import session
 from lakeweave.sources.catalog import VersionedCatalog, csv_text, run_sql
 from lakeweave.sources.lake import load_lake
+from lakeweave.sources.shared import written
 
 
 def scored_pairs(tables):
     """The rule scorer's probabilities of all column pairs."""
-    counts = profile.value_counts(profile.lake_values(tables)).persist()
+    counts = written(profile.lake_counts(tables), "counts")
     prof = profile.profiles(counts)
     return candidates.RuleScorer().score(features.pair_features(counts, prof, profile.column_text(prof, profile.frequent_values(counts))))
 

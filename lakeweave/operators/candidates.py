@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.sources.shared import written
+
 PAIR = ["table1", "column1", "table2", "column2"]
 #: Weight of an edge whose probability is not positive.
 NO_EDGE = 100.0
@@ -87,7 +89,7 @@ def transitive_labels(positives: DataFrame) -> DataFrame:
     while True:  # columns of the lake, so few; stops when no label falls
         near = edges.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         new = labels.join(near, "a").select("a", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("fell"))
-        new = new.persist()
+        new = written(new, "labels")  # cuts the rounds' lineage
         done = new.where("fell").isEmpty()
         labels = new.drop("fell")
         if done:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.functions.values import canonical, family, number_or_null
+from lakeweave.sources.shared import written
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -30,18 +31,45 @@ def overlap_coefficient(a: DataFrame, column_a: str, b: DataFrame, column_b: str
     return counts.withColumn("overlap", F.coalesce(F.try_divide(F.col("shared").cast("double"), F.least("n_a", "n_b").cast("double")), F.lit(0.0)))
 
 
+#: Columns of a lake whose sets are kept as bits; sets of wider lakes are arrays of numbers.
+MOST_BITS = 512
+
+
 def shared_values(counts: DataFrame) -> DataFrame:
     """``table1, column1, table2, column2, shared`` for all column pairs of different tables with common values.
 
-    Inverted index: a value's set of columns, at most the lake's columns whatever the
-    rows; equal sets are counted before pairs are made of them.
+    Inverted index: a value's set of columns, as bits, so that it is or-ed before the
+    shuffle; equal sets are counted before pairs are made of them.
     """
-    columns = F.array_sort(F.collect_set(F.struct("table", "column")))
-    index = counts.where("value is not null").groupBy("family", "value").agg(columns.alias("columns")).where(F.size("columns") > 1)
-    sets = index.groupBy("columns").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.select("table", "column", *(["cid"] if "cid" in counts.columns else [])).distinct()
+    names = [(r["table"], r["column"]) for r in sorted(named.collect(), key=lambda r: r["cid"] if "cid" in named.columns else tuple(r))]  # the lake's columns
+    if "cid" not in counts.columns:
+        numbers = counts.sparkSession.createDataFrame([(*n, i) for i, n in enumerate(names)], "table string, column string, cid int")
+        counts = counts.join(F.broadcast(numbers), ["table", "column"])
+    rows = counts.where("value is not null").select("family", "value", "cid")
+    if len(names) <= MOST_BITS:
+        masks = [f"m{w}" for w in range(-(-len(names) // 64))]
+        bits = [F.when(F.expr(f"cid div 64 = {w}"), F.expr("shiftleft(1L, cid % 64)")).otherwise(F.lit(0).cast("long")) for w in range(len(masks))]
+        index = rows.groupBy("family", "value").agg(*[F.bit_or(b).alias(m) for b, m in zip(bits, masks, strict=True)])
+        many = sum((F.bit_count(m) for m in masks), F.lit(0))
+        sets = index.where(many > 1).groupBy(*masks).agg(F.count(F.lit(1)).alias("n"))
+
+        def members(w: int) -> Column:
+            return F.filter(F.sequence(F.lit(64 * w), F.lit(min(64 * w + 63, len(names) - 1))), lambda i: F.getbit(F.col(masks[w]), i % 64) == 1)
+
+        held = [members(w) for w in range(len(masks))]
+        sets = sets.select("n", F.concat(*held).alias("columns"))
+    else:
+        index = rows.groupBy("family", "value").agg(F.array_sort(F.collect_set("cid")).alias("columns")).where(F.size("columns") > 1)
+        sets = index.groupBy("columns").agg(F.count(F.lit(1)).alias("n"))
     pairs = sets.select("n", F.posexplode("columns").alias("i", "a"), "columns").select("n", "a", F.explode(F.slice("columns", F.col("i") + 2, F.size("columns"))).alias("b"))
-    pairs = pairs.where("a.table <> b.table")
-    return pairs.groupBy(F.col("a.table").alias("table1"), F.col("a.column").alias("column1"), F.col("b.table").alias("table2"), F.col("b.column").alias("column2")).agg(F.sum("n").alias("shared"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    for side, number in (("1", "a"), ("2", "b")):
+        own = counts.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], f"{number} int, table{side} string, column{side} string")
+        pairs = pairs.join(F.broadcast(own), number)  # a row a column of the lake
+    first = F.struct("table1", "column1") < F.struct("table2", "column2")
+    turned = [F.when(first, F.col(f"{c}{s}")).otherwise(F.col(f"{c}{3 - s}")).alias(f"{c}{s}") for s in (1, 2) for c in ("table", "column")]
+    return pairs.where("table1 <> table2").select(*turned, "shared")
 
 
 def containment(shared: DataFrame, profile: DataFrame) -> DataFrame:
@@ -66,26 +94,71 @@ def range_overlap(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("range_overlap", F.when((common > 0) & (span > 0), common / span).otherwise(F.lit(0.0)))
 
 
+#: Numeric columns whose running sums stand in one row, and distinct numbers in a range of them.
+WIDE, RANGE_ROWS = 24, 50_000
+
+
+def bucket_of(x: Column, bounds: list[float]) -> Column:
+    """The number of bounds at or below ``x``, by a balanced tree of comparisons."""
+
+    def tree(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        middle = (a + b) // 2
+        return F.when(x < F.lit(bounds[middle]), tree(a, middle)).otherwise(tree(middle + 1, b))
+
+    return tree(0, len(bounds))
+
+
 def earth_mover(counts: DataFrame, pairs: DataFrame) -> DataFrame:
     """``table1, column1, table2, column2, emd``: the 1-D earth mover's distance of the columns' numbers.
 
-    The area between the two distribution functions.  Values are aggregated first, so
-    a pair's window holds its distinct numbers; pairs run in parallel.
+    The area between the two distribution functions.  All columns' numbers are merged
+    once: a row a distinct number, with each column's share of its own numbers there.
+    Running sums go by ranges of the numbers (sums of the ranges below, then running sums
+    within a range), and all pairs' areas are summed up in the same pass.  Columns beyond
+    ``WIDE`` are taken in blocks, two at a time.
     """
-    numbers = counts.select("table", "column", number_or_null(F.col("value")).alias("x"), "freq").where("x is not null")
-    numbers = numbers.groupBy("table", "column", "x").agg(F.sum("freq").alias("freq"))
-    total = numbers.groupBy("table", "column").agg(F.sum("freq").alias("n"))
-    numbers = numbers.join(total, ["table", "column"])
-    sides = []
-    for side, sign in (("1", 1.0), ("2", -1.0)):
-        own = numbers.select(F.col("table").alias(f"table{side}"), F.col("column").alias(f"column{side}"), "x", (F.lit(sign) * F.col("freq") / F.col("n")).alias("mass"))
-        sides.append(pairs.select("table1", "column1", "table2", "column2").join(own, [f"table{side}", f"column{side}"]).withColumn("side", F.lit(side)))
-    pair = ["table1", "column1", "table2", "column2"]
-    steps = sides[0].unionByName(sides[1]).groupBy(*pair, "x").agg(F.sum("mass").alias("mass"), F.bit_or(F.col("side").cast("int")).alias("sides"))
-    order = Window.partitionBy(*pair).orderBy("x")
-    area = F.abs(F.sum("mass").over(order.rowsBetween(Window.unboundedPreceding, 0))) * (F.lead("x").over(order) - F.col("x"))
-    out = steps.withColumn("area", area).groupBy(*pair).agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("emd"), F.bit_or("sides").alias("sides"))
-    return out.where("sides = 3").drop("sides")
+    spark = counts.sparkSession
+    wanted = [tuple(r) for r in pairs.select("table1", "column1", "table2", "column2").distinct().collect()]  # column pairs
+    number = F.col("number") if "number" in counts.columns else number_or_null(F.col("value"))
+    numbers = counts.select("table", "column", number.alias("x"), "freq").where("x is not null")
+    total = {(r["table"], r["column"]): r["n"] for r in numbers.groupBy("table", "column").agg(F.sum("freq").alias("n")).collect()}
+    wanted = [p for p in wanted if p[:2] in total and p[2:] in total]
+    columns = sorted({c for p in wanted for c in (p[:2], p[2:])})
+    size = max(1, len(columns) if len(columns) <= WIDE else WIDE // 2)
+    block = {c: i // size for i, c in enumerate(columns)}
+    parts: dict[tuple[int, int], list] = {}
+    for p in sorted(wanted):
+        parts.setdefault(tuple(sorted((block[p[:2]], block[p[2:]]))), []).append(p)
+    out = None
+    for own in parts.values():
+        area = _areas(numbers, own, total)
+        out = area if out is None else out.unionByName(area)
+    return out if out is not None else spark.createDataFrame([], "table1 string, column1 string, table2 string, column2 string, emd double")
+
+
+def _areas(numbers: DataFrame, pairs: list, total: dict) -> DataFrame:
+    """The distances of some pairs, from their columns' merged numbers."""
+    columns = sorted({c for p in pairs for c in (p[:2], p[2:])})
+    place = {c: i for i, c in enumerate(columns)}
+    mine = [(F.col("table") == t) & (F.col("column") == c) for t, c in columns]
+    masses = [f"m{i}" for i in range(len(columns))]
+    held = numbers.where(F.concat_ws(".", "table", "column").isin([".".join(c) for c in columns]))
+    merged = held.groupBy("x").agg(*[F.coalesce(F.sum(F.when(m, F.col("freq"))), F.lit(0)).alias(n) for m, n in zip(mine, masses, strict=True)])
+    merged = written(merged.select("x", *[(F.col(n) / F.lit(float(total[c]))).alias(n) for n, c in zip(masses, columns, strict=True)]), "numbers")
+    ranges = min(256, merged.count() // RANGE_ROWS + 1)
+    bounds = sorted(set(merged.agg(F.percentile_approx("x", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0])) if ranges > 1 else []
+    merged = merged.withColumn("b", bucket_of(F.col("x"), bounds))
+    sums = merged.groupBy("b").agg(F.min("x").alias("first"), *[F.sum(m).alias(m) for m in masses])
+    order = Window.orderBy("b")  # a row a range
+    below = sums.select("b", F.lead("first").over(order).alias("next"), *[F.coalesce(F.sum(m).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias(f"below_{m}") for m in masses])
+    inside = Window.partitionBy("b").orderBy("x")
+    run = merged.join(F.broadcast(below), "b")
+    run = run.select((F.coalesce(F.lead("x").over(inside), F.col("next")) - F.col("x")).alias("dx"), *[(F.col(f"below_{m}") + F.sum(m).over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias(m) for m in masses])
+    areas = run.agg(*[F.coalesce(F.sum(F.abs(F.col(masses[place[p[:2]]]) - F.col(masses[place[p[2:]]])) * F.col("dx")), F.lit(0.0)).alias(f"a{i}") for i, p in enumerate(pairs)])
+    rows = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(p, ("table1", "column1", "table2", "column2"), strict=True)], F.col(f"a{i}").alias("emd")) for i, p in enumerate(pairs)])
+    return areas.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def overlap_sketches(counts: DataFrame, log_k: int = 12) -> DataFrame:

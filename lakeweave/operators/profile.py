@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField
+from pyspark.sql.types import DecimalType, DoubleType, StructField
 
 from lakeweave.functions.values import canonical, family, number_or_null
 
@@ -42,6 +42,34 @@ def value_counts(cells: DataFrame) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count(F.lit(1)).alias("freq"), F.max("length").alias("length"))
 
 
+def lake_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``value_counts`` of all tables' cells, by one aggregation a column that reads that column alone.
+
+    Numbers, dates and the like are counted in their own type and made text
+    afterwards, a distinct value each; ``number`` is the value as double where it is one,
+    ``cid`` numbers the columns.
+    """
+    out, cid = None, 0
+    for name, df in sorted(tables.items()):
+        for i, f in enumerate(df.schema):
+            x, of = F.col(f"`{f.name}`"), family(f.dataType)
+            if of in ("text", "other"):
+                value = canonical(x, f.dataType)
+                part = df.select(value.alias("value"), (F.length(x) if of == "text" else F.length(value)).alias("length"))
+                part = part.groupBy("value").agg(F.count(F.lit(1)).alias("freq"), F.max("length").alias("length")).withColumn("number", number_or_null(F.col("value")) if of == "text" else F.lit(None).cast("double"))
+            else:
+                rounds = isinstance(f.dataType, DecimalType) and f.dataType.scale  # compared as doubles
+                part = df.select((x.cast("double") if rounds else x).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("freq"))
+                kind = DoubleType() if rounds else f.dataType
+                number = F.col("x").cast("double") if of == "number" else F.lit(None).cast("double")
+                part = part.select(canonical(F.col("x"), kind).alias("value"), "freq", F.when(~F.isnan(number), number).alias("number")).withColumn("length", F.length("value"))
+            own = part.select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), F.lit(len(df.columns)).alias("n_cols"), F.lit(of).alias("family"), "value", "freq", "length", "number", F.lit(cid).alias("cid"))
+            out, cid = own if out is None else out.unionByName(own), cid + 1
+    if out is None:
+        raise ValueError("no columns")
+    return out
+
+
 def profiles(counts: DataFrame, top: int = 10) -> DataFrame:
     """A row a column: rows, non-nulls, distinct values, lengths, numeric range, frequent values.
 
@@ -49,7 +77,7 @@ def profiles(counts: DataFrame, top: int = 10) -> DataFrame:
     """
     keys = ["table", "column", "ordinal", "n_cols", "family"]
     has = F.col("value").isNotNull()
-    number = number_or_null(F.col("value"))
+    number = F.col("number") if "number" in counts.columns else number_or_null(F.col("value"))
     base = counts.groupBy(*keys).agg(
         F.sum("freq").alias("n_rows"),
         F.coalesce(F.sum(F.when(has, F.col("freq"))), F.lit(0)).alias("n_nonnull"),
@@ -89,4 +117,4 @@ def column_text(profile: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def profile_lake(tables: dict[str, DataFrame], top: int = 10) -> DataFrame:
-    return profiles(value_counts(lake_values(tables)), top)
+    return profiles(lake_counts(tables), top)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.operators.similarity import Encoder, HashedTrigrams, cosine
+from lakeweave.sources.shared import written
 
 TEMPERATURE = 0.07
 
@@ -72,7 +73,7 @@ def calibrate(pairs: DataFrame, label: str = "label"):
         return pair_score(df).drop("prob").withColumn("shared_terms", shared)
 
     stages = [VectorAssembler(inputCols=["cosine", "shared_terms"], outputCol="_x"), LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", rawPredictionCol="_rp", predictionCol="_c", regParam=1e-3)]
-    model = Pipeline(stages=stages).fit(features(pairs).withColumn("_y", F.col(label).cast("double")).persist())
+    model = Pipeline(stages=stages).fit(written(features(pairs).withColumn("_y", F.col(label).cast("double")), "pairs"))
     return lambda df: model.transform(features(df)).withColumn("prob", vector_to_array("_p")[1]).drop("_x", "_p", "_rp", "_c")
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from lakeweave.operators import candidates, classify, evaluation, features, grap
 from lakeweave.plans.joinplan import JoinEdge, join_all, tree_edges
 from lakeweave.plans.repair import RepairSession
 from lakeweave.sources.catalog import VersionedCatalog, latest_versions, table_info
+from lakeweave.sources.shared import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,8 +83,8 @@ matrix AS (SELECT s.*, x.n AS n1, y.n AS n2, round(shared / x.n::DOUBLE, 6) AS c
 
 
 def counted(lake: dict[str, DataFrame]) -> DataFrame:
-    """The lake's value counts, which all set features start from, kept so that they are made once."""
-    return profile.value_counts(profile.lake_values(lake)).persist(StorageLevel.MEMORY_AND_DISK)
+    """The lake's value counts, which all set features start from, written so that they are made once."""
+    return written(profile.lake_counts(lake), "counts")
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def fk_once(spark, sf_dir):
 @query()
 def steiner_tree(spark, sf_dir):
     """The tree that joins region, lineitem and part over the collapsed candidate edges, solved per project."""
-    edges = graph.collapse(scored(spark, sf_dir))
+    edges = written(graph.collapse(scored(spark, sf_dir)), "edges")  # a row a table pair, used five times
     ids = graph.table_ids(edges)
     numbered = edges.join(ids.select(F.col("id").alias("a"), F.col("table").alias("u")), "u").join(ids.select(F.col("id").alias("b"), F.col("table").alias("v")), "v")
     numbered = numbered.select(F.lit("tpch").alias("project"), F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v"), "weight")
@@ -196,7 +196,8 @@ def join_classifier(spark, sf_dir):
     swapped = good.select(F.col("table2").alias("table1"), F.col("column2").alias("column1"), F.col("table1").alias("table2"), F.col("column1").alias("column2"))
     labels = good.unionByName(swapped).where("table1 < table2").withColumn("label", F.lit(1))
     drawn = candidates.negative_pairs(prof, good)
-    samples = feats.join(labels.unionByName(drawn.select(*candidates.PAIR, "label")), candidates.PAIR).persist()  # a row a column pair
+    samples = feats.join(labels.unionByName(drawn.select(*candidates.PAIR, "label")), candidates.PAIR)
+    samples = written(samples, "samples")  # a row a column pair
     model = classify.JoinClassifier().fit(samples)
     return rounded(classify.evaluate(model.score(samples)), "precision", "recall", "f1")
 
