@@ -74,6 +74,7 @@ def profiles(counts: DataFrame, top: int = 10) -> DataFrame:
     """A row a column: rows, non-nulls, distinct values, lengths, numeric range, frequent values.
 
     ``top_values`` ranks by frequency, then value; the rank limit runs before the shuffle.
+    With a ``top`` of 0 there is no such column, and no ranking.
     """
     keys = ["table", "column", "ordinal", "n_cols", "family"]
     has = F.col("value").isNotNull()
@@ -89,11 +90,13 @@ def profiles(counts: DataFrame, top: int = 10) -> DataFrame:
         F.max(number).alias("num_max"),
         F.coalesce(F.sum(F.when(number.isNotNull(), F.col("freq"))), F.lit(0)).alias("n_numeric"),
     )
+    numeric = (F.col("family") == "number").alias("is_numeric")
+    if not top:
+        return base.select("*", numeric)
     rank = F.row_number().over(Window.partitionBy("table", "column").orderBy(F.desc("freq"), "value"))
     frequent = counts.where(has).withColumn("r", rank).where(F.col("r") <= top)
     frequent = frequent.groupBy("table", "column").agg(F.array_sort(F.collect_list(F.struct("r", "value", "freq"))).alias("t"))
     frequent = frequent.select("table", "column", F.transform("t", lambda t: F.struct(t["value"].alias("value"), t["freq"].alias("freq"))).alias("top_values"))
-    numeric = (F.col("family") == "number").alias("is_numeric")
     return base.select("*", numeric).join(frequent, ["table", "column"], "left")
 
 

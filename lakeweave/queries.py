@@ -89,7 +89,7 @@ def counted(lake: dict[str, DataFrame]) -> DataFrame:
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = counted(key_lake(spark, sf_dir))
-    found = overlap.containment(overlap.shared_values(counts), profile.profiles(counts))
+    found = overlap.containment(overlap.shared_values(counts), profile.profiles(counts, top=0))
     return rounded(found, "containment1", "containment2", "max_containment", "min_containment", "overlap")
 
 
@@ -160,7 +160,7 @@ def steiner_tree(spark, sf_dir):
 def join_candidates_scored(spark, sf_dir):
     """All feature columns of the key columns' pairs, scored by the rule scorer, the best six a table pair."""
     counts = counted(key_lake(spark, sf_dir))
-    prof = profile.profiles(counts)
+    prof = profile.profiles(counts, top=0)
     texts = profile.column_text(prof, profile.frequent_values(counts))
     feats = features.pair_features(counts, prof, texts)
     return rounded(candidates.top_per_table_pair(candidates.RuleScorer().score(feats)), "prob").select(*candidates.PAIR, "prob", "rank")
@@ -190,7 +190,7 @@ def transitive_labels(spark, sf_dir):
 def join_classifier(spark, sf_dir):
     """Fits the classifier on the foreign keys and drawn negatives, and scores its own pairs: precision, recall, F1."""
     counts = counted(key_lake(spark, sf_dir))
-    prof = profile.profiles(counts)
+    prof = profile.profiles(counts, top=0)
     feats = features.pair_features(counts, prof)
     good = foreign_keys(spark)
     swapped = good.select(F.col("table2").alias("table1"), F.col("column2").alias("column1"), F.col("table1").alias("table2"), F.col("column1").alias("column2"))
@@ -234,8 +234,8 @@ min(length({text}))::INTEGER AS len_min, max(length({text}))::INTEGER AS len_max
 
 @query(" UNION ALL ".join(profile_sql(t, c, i, len(cs), kind) for t, cs in PROFILED.items() for i, (c, kind) in enumerate(cs)))
 def column_profile(spark, sf_dir):
-    found = profile.profile_lake({t: table(spark, sf_dir, t) for t in PROFILED})
-    return rounded(found, "len_avg").drop("top_values", "n_numeric")
+    found = profile.profile_lake({t: table(spark, sf_dir, t) for t in PROFILED}, top=0)
+    return rounded(found, "len_avg").drop("n_numeric")
 
 
 @query(
@@ -264,7 +264,7 @@ RANGE_SQL = "r AS (" + " UNION ALL ".join(f"SELECT '{t}' AS t, '{c}' AS c, min({
 FROM r a JOIN r b ON a.t < b.t"""
 )
 def range_overlap_pairs(spark, sf_dir):
-    prof = profile.profile_lake(range_lake(spark, sf_dir))
+    prof = profile.profile_lake(range_lake(spark, sf_dir), top=0)
     pairs = features.candidate_pairs(prof).withColumnsRenamed({"num_min1": "min1", "num_max1": "max1", "num_min2": "min2", "num_max2": "max2"})
     return rounded(overlap.range_overlap(pairs).select(*candidates.PAIR, "range_overlap"), "range_overlap")
 
@@ -280,7 +280,7 @@ SELECT table1, column1, table2, column2, round(sum(abs(f) * dx), 3) AS emd FROM
 )
 def emd_pairs(spark, sf_dir):
     counts = counted(range_lake(spark, sf_dir))
-    prof = profile.profiles(counts)
+    prof = profile.profiles(counts, top=0)
     return rounded(overlap.earth_mover(counts, features.candidate_pairs(prof)), "emd", places=3)
 
 
@@ -531,7 +531,7 @@ def discovered_join_revenue(spark, sf_dir):
 def _key_counts(spark: SparkSession, sf_dir: str, only: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     lake = {t: df for t, df in key_lake(spark, sf_dir).items() if t in only}
     counts = counted(lake)
-    return counts, profile.profiles(counts)
+    return counts, profile.profiles(counts, top=0)
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY 1, 2, 3")
