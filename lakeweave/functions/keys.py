@@ -5,7 +5,7 @@ The part that joins keeps the column's name; what is split off goes to new colum
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -70,3 +70,16 @@ def parts(x: Column, by: str, n: int) -> list[Column]:
     """The first n - 1 parts and the rest."""
     pieces = F.split(x, by, n)
     return [F.get(pieces, F.lit(i)) for i in range(n)]
+
+
+def rolled_up(df: DataFrame, lookups: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
+    """Adds the columns of a chain of lookup tables, as from city to region: each step ``(column, table, key,
+    columns)`` looks ``column``, of the table or of a step before, up in ``table`` by ``key``.
+
+    A key that is missing gives nulls; of rows that repeat a key the least by its columns counts,
+    so that no row of ``df`` is multiplied.
+    """
+    for column, lookup, key, wanted in lookups:
+        found = lookup.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*wanted)).alias("_found"))
+        df = df.join(found, F.col(column) == F.col("_key"), "left").select(*df.columns, *[F.col(f"_found.{c}").alias(c) for c in wanted])
+    return df

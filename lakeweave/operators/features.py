@@ -45,6 +45,11 @@ def header_features(profile: DataFrame) -> DataFrame:
     return a.join(b, F.expr("table1 < table2")).select("table1", "table2", jaccard(F.col("header1"), F.col("header2")).alias("header_jaccard"))
 
 
+def name_frequency(columns: DataFrame) -> DataFrame:
+    """Adds ``name_frequency``: how many columns of the lake have a column's name."""
+    return columns.withColumn("name_frequency", F.count(F.lit(1)).over(Window.partitionBy("column")))
+
+
 def pair_features(counts: DataFrame, profile: DataFrame, texts: DataFrame | None = None, encoder: Encoder | None = None, zero_content: bool = False, same_family: bool = False) -> DataFrame:
     """``table1, column1, table2, column2`` and ``FEATURES``; ``row_ratio`` and ``name_frequency`` besides.
 
@@ -68,7 +73,7 @@ def pair_features(counts: DataFrame, profile: DataFrame, texts: DataFrame | None
     for side in ("1", "2"):
         pairs = pairs.join(encoded.select(*[F.col(c).alias(f"{c}{side}") for c in encoded.columns]), [f"table{side}", f"column{side}"])
     alike = cosine(F.col("_x1"), F.col("_x2")) if content is not None and not zero_content else F.lit(0.0)
-    frequency = profile.select("table", "column", F.count(F.lit(1)).over(Window.partitionBy("column")).alias("name_frequency"))
+    frequency = name_frequency(profile).select("table", "column", "name_frequency")
     pairs = pairs.withColumns(
         {
             "content_similarity": alike,

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeweave.operators.overlap import bucket_of
+from lakeweave.sources.shared import written
+
 
 def order_of(keys: list[str], by: list[str], descending: bool = False):
     return Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() if descending else F.col(c).asc_nulls_first() for c in by])
@@ -130,3 +133,25 @@ def as_object(df: DataFrame, keys: list[str], name: str, value: str) -> DataFram
     one = df.groupBy(*keys, name).agg(F.max(value).alias(value))
     pairs = F.array_sort(F.collect_list(F.struct(F.col(name).alias("key"), F.col(value).alias("value"))))
     return one.groupBy(*keys).agg(F.map_from_entries(pairs).alias("object"))
+
+
+def exact_median(df: DataFrame, group: str, value: str, ranges: int = 64) -> DataFrame:
+    """``group, median``, exact; groups without a value are absent.
+
+    Values are counted first; the ranges of each group that hold its middle ranks are found
+    from the ranges' counts, and only their values are ranked: no task holds a whole group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = written(counted, "values")
+    bounds = sorted(set(counted.agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))
+    counted = counted.withColumn("_b", bucket_of(F.col("_v"), bounds))
+    whole = Window.partitionBy(group)  # a row a range
+    sums = counted.groupBy(group, "_b").agg(F.sum("_n").alias("_s"))
+    sums = sums.withColumns({"_all": F.sum("_s").over(whole), "_before": F.coalesce(F.sum("_s").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    middle = sums.where((F.col("_before") <= high) & (F.col("_before") + F.col("_s") > low)).select(F.col(group).alias("_g"), F.col("_b").alias("_mb"), "_before", low.alias("_low"), high.alias("_high"))
+    rows = counted.join(F.broadcast(middle), (F.col(group).eqNullSafe(F.col("_g"))) & (F.col("_b") == F.col("_mb")))  # two rows a group
+    order = Window.partitionBy(group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    held = [F.max(F.when((F.col("_from") <= F.col(m)) & (F.col("_from") + F.col("_n") > F.col(m)), F.col("_v"))) for m in ("_low", "_high")]
+    return rows.groupBy(group).agg(((held[0] + held[1]) / 2).alias("median"))
