@@ -255,7 +255,9 @@ def score_quality(docs: DataFrame, model: Additive, text: str = "text", key: str
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
     """``(key, held_out, score, predicted)`` for each row of ``docs``.
 
-    Rows whose crc32 of the key as text leaves 0 when divided by 5 are held out of
+    Null and empty texts score as any text whose features are 0; texts of any length are
+    read whole; repeated rows score alike, each for itself; other columns are not read; an empty
+    table gives no row.  Rows whose crc32 of the key as text leaves 0 when divided by 5 are held out of
     the fit.  Without a labelled row every score is 0.5.  Null keys are kept and
     never fitted; a key labelled more than once has its rounded mean label.
     """

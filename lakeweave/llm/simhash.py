@@ -192,7 +192,9 @@ def simhash_components(docs: DataFrame, bits: int = 4, text: str = "text", key:
     ``component_id`` is the least non-null key reachable over links of at most
     ``bits`` differing bits.  Null and empty texts have fingerprint zero and
     link like any other; rows with null keys take part and get their
-    component's id (null where it has no other key).
+    component's id (null where it has no other key).  Repeated rows are kept, texts of any
+    length are read whole, a bit that exactly half the shingles set is 0, an empty table
+    gives no row, and other columns are not read.
     """
     prints = materialise(fingerprints(docs, text, key), "fingerprints")
     nodes = materialise(prints.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n")), "nodes")

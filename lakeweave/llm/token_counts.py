@@ -1,10 +1,10 @@
 """Token counts without materialised ids.
 
 A byte-level BPE never merges across its pre-tokens, so the pieces of a text
-are the sum over its pre-tokens.  Pre-tokens here are the text's pieces
-between single spaces (each keeps its leading space); pieces are counted once
-for each distinct pre-token and task, joined to the document's pre-token
-frequencies, and summed.
+are the sum over its pre-tokens.  Pre-tokens here are the text's parts between
+spaces that stand alone (each keeps its leading space; white space runs stay
+inside a part); pieces are counted once for each distinct pre-token and task, joined
+to the document's pre-token frequencies, and summed.
 """
 
 from __future__ import annotations
@@ -27,39 +27,39 @@ class PieceCounts:
     """Pieces of texts under a byte-level BPE file of the tokenizers library.
 
     Cutting before a space is exact where the space has no white space on at
-    least one side; texts with a space inside a run of white space, or with a
-    special token's string, are encoded whole by the library.
+    least one side, and so a text is cut at all its spaces if none has white space on
+    both, else at those with none on either.  Special tokens' strings hold no space, so
+    they stand whole within a pre-token, which the library handles.
     """
 
     def __init__(self, path: str, table_entries: int = TABLE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(" " in t.content for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("a special token holds a space")
         self.near = re.compile(r" \s")
         self.inside = re.compile(r"\s \s")
+        self.alone = re.compile(r"(?<!\s) (?!\s)")
         self.table_entries = table_entries
         self.table: dict[str, int] = {}
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def splits(self, text: str) -> bool:
+    def split(self, text: str) -> list[str]:
+        """The text's pre-tokens, but for the space that all after the first begin with."""
         if self.near.search(text) and self.inside.search(text):
-            return False
-        return not any(s in text for s in self.special)
+            return self.alone.split(text)
+        return text.split(" ")
 
     def counts(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
         first, frequencies = [], {}
-        odd = []
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if not self.splits(text):
-                odd.append(i)
-                continue
-            head, *rest = text.split(" ")
+            head, *rest = self.split(text)
             first.append((i, head))
             frequencies[i] = Counter(rest)
         new = set().union(*frequencies.values()).difference(self.table)
@@ -75,8 +75,6 @@ class PieceCounts:
         table = self.table
         for i, frequency in frequencies.items():
             out[i] += sum(table[x] * n for x, n in frequency.items())
-        for i, n in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = n
         return out
 
 
@@ -96,8 +94,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, text: s
     """``(key, n_bytes, n_tokens, over_limit)`` for each row of ``docs``.
 
     Null texts count as empty (0 tokens).  Null and repeated keys are kept,
-    one row each; other columns are not read.  Whole texts of any length are
-    counted; a task holds one slice of texts and its bounded piece table.
+    one row each; other columns are not read; an empty table gives no row.  Whole texts
+    of any length are counted; a task holds one slice of texts and its bounded piece table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

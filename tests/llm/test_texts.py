@@ -40,6 +40,13 @@ def test_token_counts_are_the_librarys(texts):
     assert got == [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
 
 
+def test_texts_with_white_space_runs_are_cut_too():
+    own = PieceCounts(tokenizer_file(BYTE_BPE))
+    code = "def f(x):\n    if x:\n        return  x + 1\n\n\n    return <|endoftext|> None  # \t end " * 50
+    assert len(own.split(code)) > 200
+    assert own.counts([code, f"  {code}", code.replace(" ", "  ")]) == own.whole([code, f"  {code}", code.replace(" ", "  ")])
+
+
 def test_token_ids_are_the_librarys(texts):
     from tokenizers import Tokenizer
 
