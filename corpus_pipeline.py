@@ -18,7 +18,11 @@ QUALITY = 0.3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the classifier, fitted on the labelled ones, doesn't reject."""
+    """Keeps the documents that the classifier, fitted on the labelled ones, doesn't reject.
+
+    Null and empty texts are scored as empty ones and texts of any length whole; repeated rows fare alike;
+    null keys are scored and never fitted; a score of just ``QUALITY`` stays; an empty table gives an empty one.
+    """
     import numpy as np
 
     labels = entries.table(spark, sf_dir, "labels")
@@ -35,7 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least id of each SimHash component; rows without an id stay.
 
     Rows that repeat an id are one document, which goes if one of them is in a component with
-    a smaller id; of those that stay the row with the least hash is kept.
+    a smaller id; of those that stay the row with the least hash is kept.  Null and empty texts are
+    copies of one another; texts of any length are read whole; an empty table gives an empty one.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
     groups = simhash.simhash_components(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count(F.lit(1)).alias("n")).where("least = doc_id")
@@ -46,17 +51,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a benchmark item is leaked."""
+    """Drops the documents in which a benchmark item is leaked; see ``decontam.find_leaks``.
+
+    Null and empty texts and null keys stay; repeated rows fare alike; an empty table gives an empty one.
+    """
     return decontam.decontaminated(docs, entries.table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of domains below their target weight, as the fitted rates say."""
+    """Repeats documents of domains below their target weight, as the fitted rates say; see ``mixing.mixed``.
+
+    No document of a domain with a weight goes, nor does one without words; rows that agree in id and text have
+    equal copies; without a labelled document all have one; an empty table gives an empty one.
+    """
     return mixing.mixed_documents(docs, entries.table(spark, sf_dir, "labels"), weights=entries.MIXTURE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token blocks and returns each document's place, length and checksum in them."""
+    """Writes the token blocks and returns each document's place, length and checksum in them; see
+    ``token_output.token_output`` for null, empty, long and repeated rows and an empty table."""
     return token_output.token_output(docs, entries.tokenizer_file(entries.WORD_BPE), end_id=2)
 
 
