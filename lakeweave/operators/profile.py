@@ -61,6 +61,8 @@ def lake_counts(tables: dict[str, DataFrame]) -> DataFrame:
                 rounds = isinstance(f.dataType, DecimalType) and f.dataType.scale  # compared as doubles
                 part = df.select((x.cast("double") if rounds else x).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("freq"))
                 kind = DoubleType() if rounds else f.dataType
+                if kind.typeName() in ("float", "double"):  # floats of one canonical text are one value
+                    part = part.groupBy(canonical(F.col("x"), kind).alias("text")).agg(F.sum("freq").alias("freq"), F.min("x").alias("x"))
                 number = F.col("x").cast("double") if of == "number" else F.lit(None).cast("double")
                 part = part.select(canonical(F.col("x"), kind).alias("value"), "freq", F.when(~F.isnan(number), number).alias("number")).withColumn("length", F.length("value"))
             own = part.select(F.lit(name).alias("table"), F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), F.lit(len(df.columns)).alias("n_cols"), F.lit(of).alias("family"), "value", "freq", "length", "number", F.lit(cid).alias("cid"))

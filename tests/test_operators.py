@@ -342,3 +342,86 @@ def test_bucketed_error_intervals_against_brute_force(spark, small):
     want = sorted((e.event_id, k) for e in events for k, f, t in errors if f <= e.ts < t)
     assert len(errors) > len([e for e in events if e.event_id % 97 == 0])
     assert sorted(map(tuple, queries.QUERIES["bucketed_error_intervals"](spark, small).collect())) == want
+
+
+def test_native_counts_equal_melted_ones(spark, tiny):
+    """A column at a time or all cells melted: the same counts, over odd types and values too."""
+    odd = spark.sql("""SELECT * FROM VALUES (1.50BD, 1.5D, true, DATE'2024-01-01', array(1, 2), 'x'), (2.00BD, double('NaN'), false, NULL, array(1, 2), repeat('long', 100)), (NULL, -0.0D, NULL, DATE'2024-01-01', NULL, 'x'), (NULL, 1.5D + 4e-14D, NULL, NULL, NULL, 'y'),
+        (1.50BD, 0.0D, true, NULL, NULL, NULL) AS t(d, f, b, day, list, s)""")
+    lake = {**tiny, "odd": odd}
+    keys_ = ("table", "column", "ordinal", "n_cols", "family", "value")
+    merged = lambda df: {tuple(r[k] for k in keys_): (r.freq, r.length) for r in df.groupBy(*keys_).agg(F.sum("freq").alias("freq"), F.max("length").alias("length")).collect()}
+    assert merged(profile.lake_counts(lake)) == merged(profile.value_counts(profile.lake_values(lake)))
+    near = lambda v: round(v, 9) if isinstance(v, float) else v  # texts have 12 decimals
+    profiled = lambda counts: sorted(str([near(v) for v in r]) for r in profile.profiles(counts, top=0).collect())
+    assert profiled(profile.lake_counts(lake)) == profiled(profile.value_counts(profile.lake_values(lake)))
+
+
+@pytest.mark.parametrize("bits", [512, 10])
+def test_shared_values_of_wide_lakes(spark, monkeypatch, bits):
+    """More columns than one number has bits, or than bits are kept for."""
+    monkeypatch.setattr(overlap, "MOST_BITS", bits)
+    r = random.Random(bits)
+    sets = {(f"t{t:02}", f"c{c}"): {r.randint(0, 30) for _ in range(4)} for t in range(24) for c in range(3)}
+    rows = {t: spark.createDataFrame(list(itertools.zip_longest(*[sorted(sets[f"t{t:02}", f"c{c}"]) for c in range(3)])), "c0 int, c1 int, c2 int") for t in range(24)}
+    counts = profile.lake_counts({f"t{t:02}": df for t, df in rows.items()})
+    got = {(x.table1, x.column1, x.table2, x.column2): x.shared for x in overlap.shared_values(counts).collect()}
+    want = {(*a, *b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sorted(sets), 2) if a[0] != b[0] and sets[a] & sets[b]}
+    assert got == want
+
+
+def test_distances_in_blocks_and_ranges(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "WIDE", 4)
+    monkeypatch.setattr(overlap, "RANGE_ROWS", 7)
+    r = random.Random(5)
+    data = {f"t{t}": [(float(r.randint(0, 40)), r.gauss(20, 9) if t % 2 else None) for _ in range(r.randint(5, 60))] for t in range(5)}
+    lake = {t: spark.createDataFrame(rows, "a double, b double") for t, rows in data.items()}
+    counts = profile.lake_counts(lake)
+    pairs = features.candidate_pairs(profile.profiles(counts, top=0))
+    got = {(x.table1, x.column1, x.table2, x.column2): x.emd for x in overlap.earth_mover(counts, pairs).collect()}
+    values_of = {(t, c): [row[i] for row in rows if row[i] is not None] for t, rows in data.items() for i, c in enumerate("ab")}
+    for a, b in itertools.combinations(sorted(values_of), 2):
+        if a[0] != b[0] and values_of[a] and values_of[b]:
+            assert got.pop((*a, *b)) == pytest.approx(brute_emd(values_of[a], values_of[b]))
+    assert not got
+
+
+def test_exact_median(spark):
+    import statistics
+
+    r = random.Random(2)
+    rows = [(g, float(r.choice([r.randint(0, 5), r.random() * 100]))) for g in "abc" for _ in range(r.randint(1, 90))] + [("d", 1.0), ("d", 2.0), ("e", None), (None, 3.0)]
+    got = {x.g: x.median for x in history.exact_median(spark.createDataFrame(rows, "g string, v double"), "g", "v", ranges=9).collect()}
+    want = {}
+    for g, v in rows:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert got == {g: pytest.approx(statistics.median(v)) for g, v in want.items()}
+    assert history.exact_median(spark.createDataFrame([], "g string, v double"), "g", "v").count() == 0
+
+
+def test_lookup_chain_multiplies_no_row(spark):
+    cities = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), (None, 3)], "city string, land int")
+    lands = spark.createDataFrame([(1, "x"), (1, "y")], "id int, name string")
+    got = keys.rolled_up(spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "z")], "i int, c string"), [("c", cities, "city", ["land"]), ("land", lands, "id", ["name"])])
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1, "x"), (2, "b", 2, None), (3, None, None, None), (4, "z", None, None)]
+
+
+def test_models_by_join_type_and_validation(spark):
+    r = random.Random(3)
+    rows = []
+    for i in range(240):
+        label, many = i % 4 == 0, i % 3 == 0
+        row = {f: r.random() * 0.2 for f in features.FEATURES}
+        row["max_containment"] = r.uniform(0.7, 1.0) if label else r.uniform(0.0, 0.4)
+        rows.append({"table1": f"t{i}", "column1": "a", "table2": f"u{i}", "column2": "b", "label": int(label), "join_type": "N:1" if many else "1:1", **row})
+    samples = spark.createDataFrame(rows)
+    train, rest = classify.split(samples)
+    assert train.count() + rest.count() == 240 and 20 < rest.count() < 80
+    model, kind, f1 = classify.best_f1_model(train, rest)
+    assert kind == "logistic" and f1 > 0.95
+    parts = {k: classify.JoinClassifier().fit(train.where(F.col("join_type") == k)) for k in ("N:1", "1:1")}
+    both = classify.DualClassifier(parts["N:1"], parts["1:1"]).score(rest)
+    assert both.count() == rest.count() and classify.evaluate(both).first().f1 > 0.95
+    crossed = classify.cross_scored(samples)
+    assert crossed.count() == 240 and classify.evaluate(crossed).first().f1 > 0.95
