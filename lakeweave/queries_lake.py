@@ -402,3 +402,30 @@ def steiner_total(spark, sf_dir):
     names, edges = numbered(spark, sf_dir)
     _, _, total = graph.steiner_tree(edges, [names.index(t) for t in ("region", "lineitem", "part")])
     return rounded(spark.createDataFrame([(float(total),)], "total double"), "total", places=5)
+
+
+#: The tables' columns by family, but for nested ones.
+EVERY = PROFILED | {
+    "region": (("r_regionkey", "number"), ("r_name", "text")),
+    "orders": (("o_orderkey", "number"), ("o_custkey", "number"), ("o_orderstatus", "text"), ("o_totalprice", "number"), ("o_orderdate", "time"), ("o_orderpriority", "text")),
+    "lineitem": (("l_orderkey", "number"), ("l_partkey", "number"), ("l_suppkey", "number"), ("l_linenumber", "number"), ("l_quantity", "number"), ("l_extendedprice", "number"), ("l_discount", "number"), ("l_tax", "number"), ("l_returnflag", "text"), ("l_linestatus", "text"), ("l_shipdate", "time")),
+    "events": (("event_id", "number"), ("ts", "time"), ("user_id", "number"), ("event_type", "text"), ("value", "number"), ("props", "text")),
+    "documents": (("doc_id", "number"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "number")),
+    "labels": (("doc_id", "number"), ("quality", "number"), ("toxic", "number")),
+    "benchmark": (("item_id", "number"), ("text", "text")),
+    "conversations": (("conv_id", "number"), ("turn", "number"), ("role", "text"), ("text", "text")),
+    "pages": (("page_id", "number"), ("url", "text"), ("html", "text")),
+}
+
+
+def every_sql(t: str, c: str, i: int, n: int, kind: str) -> str:
+    number = {"number": f"{c}::DOUBLE", "text": f"try_cast({c} AS DOUBLE)", "time": "NULL::DOUBLE"}[kind]
+    return f"""SELECT '{t}' AS "table", '{c}' AS "column", {i} AS ordinal, {n} AS n_cols, '{kind}' AS family, count(*) AS n_rows, count({c}) AS n_nonnull, count(DISTINCT {c}) AS n_distinct, min({number}) AS num_min, max({number}) AS num_max, {"min(length(" + c + "))::INTEGER" if kind == "text" else "NULL::INTEGER"} AS text_min, {"max(length(" + c + "))::INTEGER" if kind == "text" else "NULL::INTEGER"} AS text_max FROM {t}"""
+
+
+@query(" UNION ALL ".join(every_sql(t, c, i, len(cs), kind) for t, cs in EVERY.items() for i, (c, kind) in enumerate(cs)))
+def column_profile_all_tables(spark, sf_dir):
+    """A profile of every column of every table."""
+    found = profile.profile_lake({t: table(spark, sf_dir, t).select(*[c for c, _ in cs]) for t, cs in EVERY.items()}, top=0)
+    text = F.col("family") == "text"
+    return found.select("table", "column", "ordinal", "n_cols", "family", "n_rows", "n_nonnull", "n_distinct", "num_min", "num_max", F.when(text, F.col("len_min")).alias("text_min"), F.when(text, F.col("len_max")).alias("text_max"))
