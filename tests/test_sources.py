@@ -109,7 +109,11 @@ def test_actions(spark):
     loop = actions.Loop(spark, lambda messages: next(texts))
     assert loop.run("sum the numbers") == "3"
     assert [t["observation"].splitlines()[0] for t in loop.trajectory[:2]] == ["s", "path,type,nullable"] and loop.trajectory[2]["observation"].startswith("error")
-    assert loop.log().count() == 4
+    assert loop.log().where("plan_seconds >= 0 and run_seconds >= 0 and tokens_in > 0 and tokens_out > 0").count() == 4
+    assert actions.true_pairs('{"a - b": true, "c ↔ d-e": "True", "f -> g": false, "h <-> i": "no"}') == [("a", "b"), ("c", "d-e")]
+    slow = actions.Sql("SELECT count(*) AS n FROM range(3000000000) a WHERE sha2(cast(id AS string), 512) = ''")
+    assert actions.run(spark, slow, seconds=1.0) == "error: stopped after 1 seconds"
+    assert actions.run(spark, actions.Sql("SELECT 1 AS n"), seconds=60.0).split() == ["n", "1"]  # the session goes on
     again = actions.Loop(spark, lambda messages: 'SQL(command="SELECT 1")')
     assert again.run("x") is None and len(again.trajectory) == 2
     assert actions.Loop(spark, lambda messages: "hm").run("x") is None
