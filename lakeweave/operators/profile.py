@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, StructField
 
 from lakeweave.functions.values import canonical, family, number_or_null
+from lakeweave.sources.shared import written
 
 
 def length_of(f: StructField) -> Column:
@@ -110,7 +111,7 @@ def frequent_values(counts: DataFrame, budget: int = 512, cost=None) -> DataFram
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     kept = counts.where("value is not null").withColumn("r", F.row_number().over(order)).where(F.col("r") <= budget)
     kept = kept.withColumn("used", F.sum(cost(F.col("value")) + 1).over(run) - 1).where(F.col("used") <= budget)
-    return kept.select("table", "column", "r", "value", "freq", "used")
+    return written(kept.select("table", "column", "r", "value", "freq", "used"), "frequent")  # budget rows a column, found by small tasks
 
 
 def column_text(profile: DataFrame, frequent: DataFrame) -> DataFrame:

@@ -425,3 +425,17 @@ def test_models_by_join_type_and_validation(spark):
     assert both.count() == rest.count() and classify.evaluate(both).first().f1 > 0.95
     crossed = classify.cross_scored(samples)
     assert crossed.count() == 240 and classify.evaluate(crossed).first().f1 > 0.95
+
+
+def test_written_frames_are_made_by_small_tasks(spark, monkeypatch):
+    from lakeweave.sources import shared
+
+    monkeypatch.setattr(shared, "TASK_BYTES", 1 << 20, raising=False)
+    keys_ = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    before = [spark.conf.get(k, None) for k in keys_]
+    numbers = shared.written(spark.range(2_000_000).select(F.xxhash64("id").alias("x")).groupBy("x").count(), "numbers")
+    again = shared.written(numbers.groupBy("x").count(), "again")
+    for made in (numbers, again):
+        rows = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
+        assert sum(rows) == 2_000_000 and max(rows) < 250_000  # of 500_000 at the session's four partitions
+    assert [spark.conf.get(k, None) for k in keys_] == before
