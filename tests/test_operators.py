@@ -344,6 +344,21 @@ def test_bucketed_error_intervals_against_brute_force(spark, small):
     assert sorted(map(tuple, queries.QUERIES["bucketed_error_intervals"](spark, small).collect())) == want
 
 
+def test_error_intervals_meet_few_events_in_vain(spark, small, monkeypatch):
+    """The rows that meet in a bucket are few more than the results; with buckets of a day they were 16 times as many."""
+    from lakeweave import queries
+
+    given = {}
+    join = history.bucketed_interval_join
+    monkeypatch.setattr(history, "bucketed_interval_join", lambda *a, **k: given.update(k) or join(*a, **k))
+    n = queries.QUERIES["bucketed_error_intervals"](spark, small).count()
+    size = given.get("seconds", 86_400)
+    met = spark.read.parquet(f"{small}/events.parquet").selectExpr("event_type = 'error' AS e", f"floor(unix_seconds(ts::timestamp) / {size}) AS b", f"floor((unix_seconds(ts::timestamp) + 5400) / {size}) AS last")
+    at = met.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    met = met.where("e").select(F.explode(F.sequence("b", "last")).alias("b")).join(at, "b").agg(F.sum("n")).first()[0]
+    assert n <= met < 1.5 * n
+
+
 def test_native_counts_equal_melted_ones(spark, tiny):
     """A column at a time or all cells melted: the same counts, over odd types and values too."""
     odd = spark.sql("""SELECT * FROM VALUES (1.50BD, 1.5D, true, DATE'2024-01-01', array(1, 2), 'x'), (2.00BD, double('NaN'), false, NULL, array(1, 2), repeat('long', 100)), (NULL, -0.0D, NULL, DATE'2024-01-01', NULL, 'x'), (NULL, 1.5D + 4e-14D, NULL, NULL, NULL, 'y'),
