@@ -454,3 +454,27 @@ def test_written_frames_are_made_by_small_tasks(spark, monkeypatch):
         rows = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
         assert sum(rows) == 2_000_000 and max(rows) < 250_000  # of 500_000 at the session's four partitions
     assert [spark.conf.get(k, None) for k in keys_] == before
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_top_similar_against_all_pairs(spark, monkeypatch, text):
+    """Copies, ties, NaN, zeros, nulls and vectors of other lengths, in several blocks and batches, without a nested loop."""
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 5)
+    r = random.Random(8)
+    odd = [None, [], [0.0, 0.0, 0.0], [float("nan"), 1.0, 2.0], [1.0, 2.0], [float("inf"), 1.0, 1.0], [1.0, None, 2.0]]
+    near = [[r.gauss(0, 1) for _ in range(3)] for _ in range(12)]
+    rows = [(str(i) if text else i, odd[i % 7] if i % 9 == 0 else [r.choice((1.0, 0.1, 3.0)) * x for x in r.choice(near)] if i % 2 else r.choice(near)) for i in range(160)] + [(None, near[0])]
+    vectors = spark.createDataFrame(rows, f"id {'string' if text else 'long'}, vector array<double>")
+    queries = vectors.where("id % 11 = 0")
+    a, b = queries.selectExpr("id AS query", "vector AS x"), vectors.selectExpr("id AS neighbour", "vector AS y")
+    pairs = a.join(b, F.expr("query <> neighbour")).select("query", "neighbour", similarity.dot(similarity.unit(F.col("x")), similarity.unit(F.col("y"))).alias("cosine"))
+    pairs.createOrReplaceTempView("every_pair")
+    want = spark.sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS rank FROM every_pair) WHERE rank <= 4")
+    got = similarity.top_similar(queries, vectors, 4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    found = similarity.Nearest([1, 2], [[1.0], None], 2)
+    found.AT_ONCE = found.KEPT = 3
+    found.add(list(range(9, -1, -1)), [[1.0], [-1.0]] * 5)
+    assert sorted(zip(*found.best(), strict=True), key=str) == [(1, 3, 1.0), (1, 5, 1.0), (2, 0, None), (2, 1, None)]
+    assert similarity.top_similar(queries.where("false"), vectors, 4).count() == 0 == similarity.top_similar(queries, vectors.where("false"), 4).count()
