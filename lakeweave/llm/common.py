@@ -79,6 +79,28 @@ def small_batches(spark: SparkSession):
             spark.conf.set(k, v)
 
 
+def trim() -> None:
+    """Gives the process's free memory back to the system, which the allocators keep otherwise."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if give:
+        give(0)
+
+
+def trimmed(run):
+    """A function over Arrow batches whose worker, once idle, doesn't hold what its task has freed."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path that nothing reads any more."""
     jvm = spark._jvm
@@ -167,4 +189,4 @@ def annotated(docs: DataFrame, text: str, make, kind: str, rows_at_once: int = 2
     arrow_kind = to_arrow_type(value)
     schema = StructType([StructField("row", docs.schema), StructField("value", value)])
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(trimmed(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import materialise
+from lakeweave.llm.common import materialise, trimmed
 
 WIDTH = 5
 COVERAGE = 0.8
@@ -119,7 +119,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str, width: int) -> D
                 yield pa.record_batch([*columns, pa.array(hashes.view(np.int64)), pa.array(check.view(np.int64)), pa.array(np.arange(n, dtype=np.int32))], names=["item", "item_id", "words", "width", "hash", "check", "place"])
 
     rows = benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item).cast("long").alias("item_id"), F.col(text).alias("text"))
-    return materialise(rows.mapInArrow(run, "item long, item_id long, words int, width int, hash long, check long, place int"), "seeds")
+    return materialise(rows.mapInArrow(trimmed(run), "item long, item_id long, words int, width int, hash long, check long, place int"), "seeds")
 
 
 def seed_filter(seeds: DataFrame, most_bits: int = MOST_BITS) -> tuple[np.ndarray, int, list[int]]:
@@ -168,7 +168,7 @@ def document_hits(docs: DataFrame, seeds: DataFrame, text: str, key: str, most_b
                     yield pa.record_batch([*(some.column(i).take(rows) for i in range(3)), pa.array(np.full(len(cut), width, np.int32)), pa.array(found[cut].view(np.int64)), pa.array(check[cut].view(np.int64)), places], names=["row", "key", "text_hash", "width", "hash", "check", "places"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"row long, key {kind}, text_hash long, width int, hash long, check long, places array<int>")
+    return rows.mapInArrow(trimmed(run), f"row long, key {kind}, text_hash long, width int, hash long, check long, places array<int>")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, width: int = WIDTH, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
@@ -208,7 +208,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
     kind = hits.schema["key"].dataType.simpleString()
     pairs = pairs.select("row", "key", "text_hash", "item_id", "words", "width", "seeds")
-    return pairs.mapInArrow(run, f"row long, key {kind}, text_hash long, item_id long, coverage double, tiles int")
+    return pairs.mapInArrow(trimmed(run), f"row long, key {kind}, text_hash long, item_id long, coverage double, tiles int")
 
 
 def leaked_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import components, hot_join, materialise
+from lakeweave.llm.common import components, hot_join, materialise, trimmed
 
 #: Longest posting list that is compared pair by pair.
 LIST_LIMIT = 4096
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
                 yield pa.record_batch([some.column(0), pa.array(bits.view(np.int64))], names=["key", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(trimmed(run), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def tally(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def near_links(nodes: DataFrame, bits: int = 4, limit: int = LIST_LIMIT) -> Data
         if held is not None and held.num_rows:
             yield links(held)
 
-    found = cold.repartition("slot", "bytes").sortWithinPartitions("slot", "bytes", "fp").mapInArrow(run, "u long, v long")
+    found = cold.repartition("slot", "bytes").sortWithinPartitions("slot", "bytes", "fp").mapInArrow(trimmed(run), "u long, v long")
     if lists.where(F.col("n") > limit).isEmpty():
         return found
 
@@ -180,7 +180,7 @@ def near_links(nodes: DataFrame, bits: int = 4, limit: int = LIST_LIMIT) -> Data
                 yield pa.record_batch(columns, names=["place", "fp", "close"])
 
     hot = postings.join(lists.where(F.col("n") > limit), ["slot", "bytes"], "left_semi").select("fp").distinct()
-    places = hot.mapInArrow(neighbours, "place long, fp long, close boolean")
+    places = hot.mapInArrow(trimmed(neighbours), "place long, fp long, close boolean")
     least = places.groupBy("place").agg(F.min(F.when(F.col("close"), F.col("fp"))).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1 and v is not null").drop("n")
     dense = places.join(least, "place").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return found.unionByName(dense)

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeweave.llm import repair
-from lakeweave.llm.common import materialise, scratch, small_batches
+from lakeweave.llm.common import materialise, scratch, small_batches, trimmed
 
 #: Characters of a block's texts, but for a longer last document.
 BLOCK_CHARS = 4_000_000
 #: Distinct chunks that a worker remembers with their ids; past it those go that were seen least, which changes no id.
-MEMORY = 800_000
+MEMORY = 400_000
 
 
 class Numbered(dict):
@@ -168,13 +168,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
         def flush() -> pa.RecordBatch:
             nonlocal block, start, keys, texts, held
             ids, ends = own.encode(texts, end_id)
+            texts = []
             packed = repair.compress(ids, ends, end_id, own.terminals)
             row = pa.record_batch(
                 [pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([start], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([packed], pa.binary())],
                 names=["part", "block", "start", "n_tokens", "keys", "data"],
             )
             block, start = block + 1, start + len(ids)
-            keys, texts, held = [], [], 0
+            keys, held = [], 0
             return row
 
         for batch in batches:
@@ -188,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, t
             yield flush()
 
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionByRange("key").sortWithinPartitions("key", "text")
-    blocks = ordered.mapInArrow(run, "part int, block int, start long, n_tokens long, keys array<bigint>, data binary")
+    blocks = ordered.mapInArrow(trimmed(run), "part int, block int, start long, n_tokens long, keys array<bigint>, data binary")
     with small_batches(docs.sparkSession):
         blocks.write.parquet(path)
 
@@ -223,7 +224,7 @@ def read_tokens(spark: SparkSession, path: str, key: str = "doc_id") -> DataFram
         sums.append((part, before))
         before += n
     offsets = F.broadcast(spark.createDataFrame(sums, "part int, before long"))  # two numbers a part
-    return blocks.join(offsets, "part").mapInArrow(run, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
+    return blocks.join(offsets, "part").mapInArrow(trimmed(run), "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = 2, text: str = "text", key: str = "doc_id", path: str | None = None) -> DataFrame:

@@ -612,3 +612,13 @@ def test_components_with_hubs(spark):
 
 def test_entries_are_complete():
     assert {int(n[2:].split("_")[0]) for n in entries.QUERIES} == set(range(1, 11))
+
+
+def test_workers_give_memory_back_when_their_batches_are_done(monkeypatch):
+    from lakeweave.llm import common, token_output
+
+    calls = []
+    monkeypatch.setattr(common, "trim", lambda: calls.append(1))
+    some = common.trimmed(lambda batches: (b + 1 for b in batches))(iter([1, 2]))
+    assert next(some) == 2 and not calls and list(some) == [3] and calls == [1]
+    assert token_output.MEMORY <= 400_000
