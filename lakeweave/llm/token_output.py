@@ -7,6 +7,8 @@ so a lost task leaves nothing behind and any store that Spark writes will do.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain, compress, islice
 
@@ -24,6 +26,31 @@ BLOCK_CHARS = 4_000_000
 MEMORY = 400_000
 
 
+#: Chunks of small letters from ASCII and Latin-1: lower case and composed as they are, and all ``\p{L}``.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Steps that leave a plain chunk whole, but for the names of its bytes.
+KEEPS_PLAIN = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pre_tokenizer": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def plain_tokenizer(tokenizer, spec: dict):
+    """The model of a tokenizer of the file ``spec`` behind a cut at spaces alone, which gives plain chunks the same ids; None where
+    the file has other steps than ``KEEPS_PLAIN`` or an added token that a plain chunk may hold."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    steps = {"normalizer": (spec["normalizer"] or {}).get("normalizers"), "pre_tokenizer": (spec["pre_tokenizer"] or {}).get("pretokenizers")}
+    if steps != KEEPS_PLAIN or spec["truncation"] or spec["padding"] or any(PLAIN.fullmatch(t["content"].encode()) for t in spec["added_tokens"]):
+        return None
+    quick = Tokenizer(tokenizer.model)
+    quick.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return quick
+
+
 class Numbered(dict):
     """Numbers the keys that it is asked for, from 0."""
 
@@ -40,6 +67,7 @@ class Encoder:
     block's ids are gathered.  Chunks are told apart by their bytes.  Where the file
     makes small letters of capitals, texts are lowered first, so that there are fewer
     chunks; where it cuts between a letter and a following mark, so is the chunk.
+    Plain chunks go to the file's model without its other steps (``plain_tokenizer``).
     """
 
     def __init__(self, path: str, memory: int = MEMORY):
@@ -57,6 +85,11 @@ class Encoder:
             probes = [(x, mark + z) for x in small for z in ("", mark, small, f" {small}")]
             return not any(mark.encode() in x[1:] for x in self.special) and all([p for p, _ in cutter.pre_tokenize_str(x + y)] == [x, *(p for p, _ in cutter.pre_tokenize_str(y))] for x, y in probes)
 
+        spec = json.loads(self.tokenizer.to_str())
+        self.quick = plain_tokenizer(self.tokenizer, spec)
+        self.last = np.zeros(self.terminals, bool)
+        if suffix := spec["model"].get("end_of_word_suffix"):  # tokens that end a word, where the file marks them
+            self.last[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
         self.marks = np.zeros(256, bool)
         if cutter is not None and self.lowers:
             self.marks[[y for y in range(33, 127) if not chr(y).isalnum() and cuts(chr(y))]] = True
@@ -96,7 +129,12 @@ class Encoder:
         first = ~blank
         first[1:] &= blank[:-1]
         if self.marks.any():
-            at = np.flatnonzero(self.marks.take(buffer[1:]) & (buffer[:-1] - np.uint8(97) < 26)) + 1
+            mark = self.marks.take(buffer[1:])
+            at = np.flatnonzero(mark & (buffer[:-1] - np.uint8(97) < 26)) + 1
+            if self.quick is not None:  # there, letters of Latin-1 are as those of ASCII
+                accented = np.flatnonzero(mark[1:] & (buffer[:-2] == 0xC3)) + 2
+                before = buffer[accented - 1]
+                at = np.sort(np.concatenate([at, accented[(before != 0x97) & (before != 0xB7)]]))  # no signs of times and division
             first[at] = True
             joined = np.insert(buffer, at, 32).tobytes()
         return joined.split(), np.add.reduceat(first, firsts, dtype=np.int64)
@@ -106,13 +144,37 @@ class Encoder:
         new = list(islice(self.chunks, len(self.begin) - 1, None))
         if not new:
             return
-        texts = [x.decode() for x in new]
+        plain = np.fromiter((self.quick is not None and PLAIN.fullmatch(x) is not None for x in new), bool, len(new))
+        sizes = np.empty(len(new), np.int64)
+        ids, sizes[plain] = self.learn_plain(list(compress(new, plain.tolist())))
+        others, sizes[~plain] = self.learn_others(list(compress(new, (~plain).tolist())))
+        of_plain = np.repeat(plain, sizes)
+        both = np.empty(len(of_plain), self.kind)
+        both[of_plain], both[~of_plain] = ids, others
+        self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes)])
+        self.pool = np.concatenate([self.pool, both])
+
+    def learn_plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain chunks, and how many each has: a chunk is a word of the encoding, whose last token tells its end."""
+        if not chunks:
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        text = b" ".join(chunks).decode()
+        ids = np.array(self.quick.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        if len(ids) and self.last[ids[-1]] and len(ends := np.flatnonzero(self.last[ids])) == len(chunks):
+            return ids, np.diff(ends, prepend=-1)
+        encoding = self.quick.encode(text, add_special_tokens=False)
+        return np.array(encoding.ids, self.kind), np.bincount(np.array(encoding.word_ids, np.int64), minlength=len(chunks))
+
+    def learn_others(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of any chunks, and how many each has: those whose offsets are within it."""
+        if not chunks:
+            return np.empty(0, self.kind), np.empty(0, np.int64)
+        texts = [x.decode() for x in chunks]
         encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(encoding.ids, self.kind)
         at = np.fromiter(chain.from_iterable(encoding.offsets), np.int64, 2 * len(ids))[::2]
         starts = np.cumsum([0, *(len(x) + 1 for x in texts)])[1:]  # a token at or past it is of a later chunk
-        self.begin = np.concatenate([self.begin, len(self.pool) + np.searchsorted(at, starts)])
-        self.pool = np.concatenate([self.pool, ids])
+        return ids, np.diff(np.searchsorted(at, starts), prepend=0)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by ``end_id``, and the place past each text's end id."""

@@ -77,6 +77,33 @@ def test_chunks_are_told_apart_by_their_bytes_and_memory_changes_nothing(texts):
             assert ids[a:b].tolist() == [*e.ids, 2]
 
 
+def test_plain_chunks_need_the_model_alone():
+    from tokenizers import Tokenizer
+
+    path, r = tokenizer_file(WORD_BPE), random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz" * 3 + "".join(map(chr, range(0xDF, 0x100))).replace("÷", "")
+    some = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(40)) for _ in range(100)]
+    marked = [re.sub(" ", lambda _: r.choice(".,;!%# ") + " ", x) for x in some] + ["È. é's É<|endoftext|> ä×. ö÷, ×! ÷! ß-ß é=\u0338 ñ.\u0301 à"]
+
+    class Silent:
+        def encode(self, *_, **__):
+            raise AssertionError("a plain chunk took the long way")
+
+    def check(own, texts):
+        ids, ends = own.encode(texts, 2)
+        for a, b, x in zip([0, *ends.tolist()], ends.tolist(), texts, strict=False):
+            assert ids[a:b].tolist() == [*want[x], 2]
+
+    want = {x: e.ids for x, e in zip([*some, *marked], Tokenizer.from_file(path).encode_batch([*some, *marked], add_special_tokens=False), strict=True)}
+    short, blind, whole = Encoder(path), Encoder(path), Encoder(path)
+    short.tokenizer = Silent()
+    check(short, some)
+    blind.last[:] = False  # a file that doesn't mark the ends of words
+    whole.quick = None
+    for own in (Encoder(path), blind, whole):
+        check(own, [*some, *marked])
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_repair_round_trip(seed):
     r = np.random.default_rng(seed)
