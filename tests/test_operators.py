@@ -359,6 +359,38 @@ def test_error_intervals_meet_few_events_in_vain(spark, small, monkeypatch):
     assert n <= met < 1.5 * n
 
 
+def test_bucketed_interval_join_by_blocks(spark, monkeypatch):
+    """Blocks and runs that are cut anywhere give what each pair looked at gives: open, empty, reversed and long intervals, null and old times."""
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(history, "BLOCK_ROWS", 3, raising=False)
+    monkeypatch.setattr(history, "BUCKETS_DEALT", 2, raising=False)
+    r, zero = random.Random(4), datetime(1969, 12, 31, 23)
+    at = lambda s: zero + timedelta(seconds=s)
+    points = [(k, at(r.choice([60 * r.randint(0, 120), r.randint(0, 7200)]))) for k in range(120)] + [(200, None), (201, at(600)), (201, at(600))]
+    spans = [(k, at(f := 60 * r.randint(0, 120)), None if k % 9 == 0 else at(f + r.choice([0, -300, 1, 600, 5400, 90_000]))) for k in range(40)] + [(90, None, at(600)), (91, None, None)]
+    until = at(6000)
+    want = [(p, k) for p, t in points for k, f, e in spans if t and f and f <= t < (e or until)]
+    left, right = spark.createDataFrame(points, "point long, t timestamp_ntz"), spark.createDataFrame(spans, "span long, f timestamp_ntz, e timestamp_ntz")
+    for seconds in (60, 600, 86_400):
+        got = history.bucketed_interval_join(left, "t", right, "f", "e", F.lit(until).cast("timestamp_ntz"), seconds=seconds)
+        assert got.columns == ["point", "t", "span", "f", "e"]
+        assert sorted((x.point, x.span) for x in got.collect()) == sorted(want)
+    assert got.union(got).count() == 2 * len(want)
+
+
+def test_error_intervals_are_written_small(spark, tmp_path):
+    """Files of the pairs take a third of a byte a pair at most; pairs in the order of buckets took over a byte."""
+    from lakeweave import queries
+
+    spark.sql("SELECT id AS event_id, timestamp_micros(id * 7919000000 % 36000000000 + id)::timestamp_ntz AS ts, if(id % 5 = 0, 'error', 'view') AS event_type FROM range(9000)").write.parquet(str(tmp_path / "events.parquet"))
+    queries.QUERIES["bucketed_error_intervals"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    pairs = spark.read.parquet(str(tmp_path / "out"))
+    n = pairs.count()
+    assert n == pairs.distinct().count() > 2_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < n / 3
+
+
 def test_native_counts_equal_melted_ones(spark, tiny):
     """A column at a time or all cells melted: the same counts, over odd types and values too."""
     odd = spark.sql("""SELECT * FROM VALUES (1.50BD, 1.5D, true, DATE'2024-01-01', array(1, 2), 'x'), (2.00BD, double('NaN'), false, NULL, array(1, 2), repeat('long', 100)), (NULL, -0.0D, NULL, DATE'2024-01-01', NULL, 'x'), (NULL, 1.5D + 4e-14D, NULL, NULL, NULL, 'y'),
